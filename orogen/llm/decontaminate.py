@@ -75,8 +75,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, ke
     bitmap, sizes, n_grams = _bitmap(grams)
     w = F.col("__w")
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*keep).alias("__keep"), words(F.col("text")).alias("__w"))
-    hashes = [F.when(F.size(w) >= s, F.transform(F.sequence(F.lit(1), F.size(w) - s + 1), lambda i, s=s: F.xxhash64(F.slice(w, i, F.lit(s))))).alias(f"__h{s}") for s in sizes]
-    rows = rows.select("*", *hashes)
+
+    def hashed(size: int) -> Column:
+        return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))).alias(f"__h{size}")
+
+    rows = rows.select("*", *map(hashed, sizes))
 
     def passing(size: int) -> Column:
         h = F.col(f"__h{size}")
