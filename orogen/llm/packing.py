@@ -2,7 +2,7 @@
 
 A task tokenises its documents and packs them in windows of a bounded number of tokens, the longest pieces of a
 window first.  Open sequences are counted per residual gap: a piece goes to the gap for which the sum of the squared
-counts becomes smallest, or opens a sequence if that is smaller.  After each window the well-filled sequences leave
+counts becomes smallest (the tightest of equal ones), and opens a sequence where no gap has room.  After each window the well-filled sequences leave
 the task; the others wait for the next window.  What waits is bounded too: beyond HELD_TOKENS it leaves as loose.
 
 First round: each partition alone, without a shuffle; its pieces are written once to the shared folder.
@@ -46,12 +46,12 @@ class SumOfSquares:
     def place(self, length: int) -> tuple[int, int]:
         size, counts = self.size, self.counts
         # What a placement adds to the sum: a gap that shrinks loses a term and another gains one, a gap that closes
-        # only loses one, a new sequence only gains one.
+        # only loses one.  A sequence is opened where none has room, since each one costs the caller.
         change = 2 * (counts[: size + 1 - length] - counts[length:] + 1)
         change[0] -= 1
         change = np.where(counts[length:] > 0, change, np.iinfo(np.int64).max)
         at = int(change.argmin())
-        if counts[at + length] > 0 and change[at] <= (2 * counts[size - length] + 1 if length < size else 0):
+        if counts[at + length] > 0:
             gap = at + length
             sequence = self.open[gap].pop()
             counts[gap] -= 1
