@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import decontaminate, packing, rules
+from orogen.llm import decontaminate, linededup, packing, rules, simhash
 from orogen.tables import table
 
 
@@ -33,6 +33,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = linededup.LineIndex.build(docs, min_docs=10).remove_lines(docs)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     base_failed = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
@@ -42,10 +48,16 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"), radius=4, width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op7_linededup": op7_linededup,
     "op9_rules": op9_rules,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
