@@ -28,8 +28,8 @@ from orogen.shared import materialise
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, loose boolean"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-WINDOW_TOKENS = 8 << 20
-HELD_TOKENS = 16 << 20
+WINDOW_TOKENS = 4 << 20
+HELD_TOKENS = 8 << 20
 LOOSE_TOKENS = 4 << 20  # in a partition of the second round
 PER_TASK = 1 << 36
 

@@ -100,6 +100,17 @@ def kept(policy: str = "default-1", failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def passing(docs: DataFrame, policy: str = "default-1", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with all their columns.
+
+    The partition number in the condition keeps the optimiser from moving the filter below the measurements, where it would
+    evaluate every rule again for each use of a measurement.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = ledger(rows, "__key", "__text", keep=("__doc",)).withColumn("__at", F.spark_partition_id())
+    return rows.filter((F.col("__at") >= 0) & kept(policy)).select("__doc.*")
+
+
 def ablations(rows: DataFrame, policy: str = "default-1") -> DataFrame:
     """For each rule of the policy: documents it fails, documents that only it fails, documents kept without it.
 

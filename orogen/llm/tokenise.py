@@ -1,20 +1,25 @@
-"""Tokenising whole texts through caches of white-space-delimited chunks.
-
-Both word-splitting tokenizers used here never make a token across the border between a character that isn't white
-space and one that is.  A text may therefore be cut there, and each piece tokenised alone; pieces repeat, so a
-worker keeps the result of each in a bounded table and the tokenizers library sees only pieces new to the worker.
-Texts with characters that the library and Python class differently (file to unit separators) go to the library whole.
+"""Tokenising whole texts through bounded tables in each worker.
+
+No token of the word-splitting tokenizers used here crosses from a character that isn't white space to one that is, or
+from a letter to anything but a letter.  So a text is cut before its white space into chunks, a chunk after its letters
+into parts, and each part is tokenised alone.  Both repeat: a worker keeps what a chunk and a part gave, and the
+tokenizers library sees only parts that are new to the worker.  Texts with anything that could break the rule (file to
+unit separators, special strings, and for normalising tokenizers texts that aren't NFC or hold a dotted capital I) go to
+the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+_PART = re.compile(r"\s*(?:[^\s\w]|[\d_])*[^\W\d_]+|\s*\S+|\s+")
 GROUP_CHARS = 1 << 20
 
 
@@ -39,11 +44,21 @@ def groups(texts: list[str]):
 
 
 class ChunkTable:
-    """chunk -> what the tokenizer gives for it.  At ``limit`` entries the table starts anew, which bounds memory."""
+    """What the tokenizer gives for chunks and parts, in tables of bounded size.
+
+    A table that is full becomes the old one and a new one begins; what is asked for again moves over, so frequent
+    entries stay.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000, known: dict | None = None):
+    def __init__(self, path: str, limit: int = 500_000, known: dict | None = None):
+        """limit: of chunks; half as many parts and as many old parts.  known: parts whose value is given, for instance broadcast."""
         self.tokenizer, self.limit, self.known = load(path), limit, known or {}
-        self.seen: dict = dict(self.known)
+        self.chunks: dict = {}
+        self.parts: dict = {}
+        self.old: dict = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.normalises = self.tokenizer.normalizer is not None
+        self.odd = re.compile("|".join(["[\x1c-\x1f]", *special, *["\u0130"] * self.normalises]))
 
     @staticmethod
     def value(ids: list[int]):
@@ -53,32 +68,41 @@ class ChunkTable:
     def merge(values) -> object:
         raise NotImplementedError
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.seen) + len(new) > self.limit:
-            self.seen = dict(self.known)
+    def whole(self, text: str):
+        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Enter chunks that the table lacks."""
+        cut = [_PART.findall(c) for c in chunks]
+        parts, old, known = self.parts, self.old, self.known
+        new = []
+        for x in set().union(*cut).difference(parts):
+            v = known.get(x)
+            if v is None:
+                v = old.get(x)
+            if v is None:
+                new.append(x)
+            else:
+                parts[x] = v
         for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.seen.update(zip(part, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            some = new[k : k + 4096]
+            parts.update(zip(some, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        self.chunks.update((c, self.merge([parts[x] for x in own])) for c, own in zip(chunks, cut, strict=True))
 
     def many(self, texts: list[str]) -> list:
         """The merged value of each text."""
         out = []
         for group in groups(texts):
-            cut = [None if _ODD.search(t) else _CHUNK.findall(t) for t in group]
-            new = set().union(*(c for c in cut if c)).difference(self.seen)
+            if len(self.chunks) > self.limit:
+                self.chunks = {}
+            if len(self.parts) > self.limit // 2:
+                self.old, self.parts = self.parts, {}
+            cut = [None if self.odd.search(t) or self.normalises and not unicodedata.is_normalized("NFC", t) else _CHUNK.findall(t) for t in group]
+            new = set().union(*(c for c in cut if c)).difference(self.chunks)
             if new:
                 self._learn(list(new))
-            get = self.seen
-            for t, c in zip(group, cut, strict=True):
-                if c is None:
-                    out.append(self.merge([self.value(self.tokenizer.encode(t, add_special_tokens=False).ids)]))
-                else:
-                    try:
-                        out.append(self.merge(map(get.__getitem__, c)))
-                    except KeyError:  # the table started anew within this group
-                        self._learn([x for x in set(c) if x not in self.seen])
-                        get = self.seen
-                        out.append(self.merge([get[x] for x in c]))
+            get = self.chunks.__getitem__
+            out += [self.whole(t) if c is None else self.merge(map(get, c)) for t, c in zip(group, cut, strict=True)]
         return out
 
 
@@ -87,7 +111,7 @@ class IdTable(ChunkTable):
 
     @staticmethod
     def value(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
     merge = staticmethod(b"".join)
 
