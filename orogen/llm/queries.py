@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import decontaminate, linededup, packing, rules, simhash
+from orogen.llm import chat, decontaminate, langid, linededup, packing, rules, simhash, tokencount, tokenfile, warc
 from orogen.tables import table
 
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -27,18 +28,55 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    out = chat.format_conversations(rows.unionByName(own)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.filter(F.assert_true("round_trip", "a conversation doesn't come back from its formatted text").isNull())
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2))
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), limit=2048)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",")
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    rows = langid.predict(docs, *langid.learn(docs.filter(~out), vocabulary(PIECES)))
+    return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = linededup.LineIndex.build(docs, min_docs=10).remove_lines(docs)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    digested = records.withColumn("digest", F.when(F.col("kind") == "response", warc.base32_sha1(F.col("payload"))).otherwise(F.col("digest")))
+    digested = digested.withColumn("payload_bytes", F.when(F.col("kind") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")))
+    captures = warc.transactions(digested, payload=False)
+    return captures.select("page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "response.refers_to")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(table(spark, sf_dir, "documents"))
     base_failed = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
@@ -54,8 +92,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
+    "op3_tokenfile": op3_tokenfile,
+    "op4_tokencount": op4_tokencount,
     "op5_decontaminate": op5_decontaminate,
+    "op6_langid": op6_langid,
     "op7_linededup": op7_linededup,
+    "op8_warc": op8_warc,
     "op9_rules": op9_rules,
     "op10_simhash": op10_simhash,
 }
