@@ -71,6 +71,12 @@ class ChunkTable:
     def whole(self, text: str):
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def encoded(self, parts: list[str]):
+        """(part, value) of parts, by the library."""
+        for k in range(0, len(parts), 4096):
+            some = parts[k : k + 4096]
+            yield from zip(some, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True)
+
     def _learn(self, chunks: list[str]) -> None:
         """Enter chunks that the table lacks."""
         cut = [_PART.findall(c) for c in chunks]
@@ -84,9 +90,7 @@ class ChunkTable:
                 new.append(x)
             else:
                 parts[x] = v
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            parts.update(zip(some, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        parts.update(self.encoded(new))
         self.chunks.update((c, self.merge([parts[x] for x in own])) for c, own in zip(chunks, cut, strict=True))
 
     def many(self, texts: list[str]) -> list:
@@ -106,8 +110,31 @@ class ChunkTable:
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level BPE writes each byte: itself if it is printable, else the next unused one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class IdTable(ChunkTable):
-    """Token ids as little-endian unsigned 32-bit integers."""
+    """Token ids as little-endian unsigned 32-bit integers.
+
+    A part that is a space and letters is one word to a byte-level tokenizer, so that its BPE model is asked directly.
+    """
+
+    letters = _byte_letters()
+
+    def encoded(self, parts: list[str]):
+        model, letters, rest = self.tokenizer.model, self.letters, []
+        if self.normalises:
+            yield from super().encoded(parts)
+            return
+        for p in parts:
+            if p[0] == " " and p[1:].isalpha():
+                yield p, self.value([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))])
+            else:
+                rest.append(p)
+        yield from super().encoded(rest)
 
     @staticmethod
     def value(ids: list[int]) -> bytes:
