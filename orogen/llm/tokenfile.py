@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from orogen.llm.tokenise import IdTable
 from orogen.shared import materialise
 
-LANES = 1024
-CHECKPOINT = 256
-BLOCK_TOKENS = 1 << 19
+LANES = 4096
+CHECKPOINT = 128
+BLOCK_TOKENS = 1 << 20
 SEGMENT_TOKENS = 1 << 22
 LOW = np.uint64(1 << 31)
 SCHEMA = "part int, segment int, n_docs long, n_tokens long, bytes binary"
