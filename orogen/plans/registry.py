@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Importing a module of queries registers them."""
+    from orogen.plans import catalog, meshes, shapes, terrain  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,12 +79,14 @@ def q_file_pruning(spark, sf):
 
 R = f"WITH {X.RASTER} "
 DISC = "(i-30.5)*(i-30.5) + (j-31.5)*(j-31.5) <= 400.0"
-ZONE = G.disc(30.5, 31.5, 20)
+def zone():
+    return G.disc(30.5, 31.5, 20)
+
 
 
 @query("q_disc_mask", R + f"SELECT i, j FROM raster WHERE {DISC}")
 def q_disc_mask(spark, sf):
-    return X.raster(spark, sf).filter(ZONE).select("i", "j")
+    return X.raster(spark, sf).filter(zone()).select("i", "j")
 
 
 @query("q_plausible", R + "SELECT i, j, z FROM raster WHERE z > 480.5")
@@ -107,12 +109,12 @@ def q_valid_stats(spark, sf):
 
 @query("q_disc_coverage", R + f"SELECT avg(CASE WHEN z IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE) AS coverage FROM raster WHERE {DISC}")
 def q_disc_coverage(spark, sf):
-    return G.disc_coverage(X.raster(spark, sf), ZONE)
+    return G.disc_coverage(X.raster(spark, sf), zone())
 
 
 @query("q_zone_counts", R + f"SELECT count(*) AS n_zone, count(*) FILTER (z IS NULL) AS n_missing, count(*) FILTER (z <= 480.5) AS n_low, count(*) FILTER (z > 480.5) AS n_kept FROM raster WHERE {DISC}")
 def q_zone_counts(spark, sf):
-    return G.zone_counts(X.raster(spark, sf), ZONE, 480.5)
+    return G.zone_counts(X.raster(spark, sf), zone(), 480.5)
 
 
 NEAR = f"near AS (SELECT a.i, a.j, count(*) AS n, min(b.z) AS lo, max(b.z) AS hi FROM raster a, {X.NINE} o, raster b WHERE (di <> 0 OR dj <> 0) AND b.i = a.i+di AND b.j = a.j+dj AND b.z IS NOT NULL GROUP BY a.i, a.j)"
@@ -307,7 +309,8 @@ def q_required_nodes(spark, sf):
 
 def _label(cells: str) -> str:
     """Recursive part: the smallest id that each cell of a table can reach."""
-    return f"""ids AS (SELECT i, j, i*64+j AS id FROM {cells}), edges AS (SELECT a.id AS a, b.id AS b FROM ids a, {X.NINE} o, ids b WHERE b.i = a.i+di AND b.j = a.j+dj AND a.id <> b.id),
+    steps = " UNION ALL ".join(f"SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON b.i = a.i + ({x}) AND b.j = a.j + ({y})" for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y)
+    return f"""ids AS MATERIALIZED (SELECT i, j, i*64+j AS id FROM {cells}), edges AS MATERIALIZED ({steps}),
 cc(id, l) USING KEY (id) AS (SELECT id, id FROM ids UNION SELECT e.b, min(cc.l) FROM cc JOIN edges e ON e.a = cc.id JOIN recurring.cc AS old ON old.id = e.b WHERE cc.l < old.l GROUP BY e.b)"""
 
 
