@@ -28,7 +28,7 @@ from orogen.shared import materialise, new_path
 
 RECORDS_PER_FILE = 20_000
 CRLF = "\r\n"
-FIELDS = "page_id long, kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary"
+FIELDS = "page_id long, kind string, record_id string, concurrent_to string, refers_to long, uri string, digest string, payload_bytes long, payload binary"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
