@@ -331,11 +331,11 @@ def q_largest_component(spark, sf):
     return M.largest_component(M.components(X.mask(spark, sf, -0.1), X.WIDTH))
 
 
-@query("q_island_mode", f"{RC}{X.RASTER}, land AS (SELECT i, j FROM raster WHERE z > 475.0 + 1.0), {_label('land')}, {BIG}, isle AS (SELECT i, j FROM ids JOIN cc USING (id) WHERE l = (SELECT l FROM big)) SELECT r.i, r.j, CASE WHEN s.i IS NULL THEN 475.0 ELSE r.z END::DOUBLE AS z FROM raster r LEFT JOIN isle s ON s.i = r.i AND s.j = r.j")
+@query("q_island_mode", f"{RC}{X.RASTER}, land AS (SELECT i, j FROM raster WHERE z > 430.0 + 1.0), {_label('land')}, {BIG}, isle AS (SELECT i, j FROM ids JOIN cc USING (id) WHERE l = (SELECT l FROM big)) SELECT r.i, r.j, CASE WHEN s.i IS NULL THEN 430.0 ELSE r.z END::DOUBLE AS z FROM raster r LEFT JOIN isle s ON s.i = r.i AND s.j = r.j")
 def q_island_mode(spark, sf):
     g = X.raster(spark, sf)
-    land = M.largest_component(M.components(g.filter(F.col("z") > 475.0 + 1.0).select("i", "j"), X.WIDTH)).withColumn("land", F.lit(True))
-    return g.join(land, ["i", "j"], "left").select("i", "j", F.when(F.col("land"), F.col("z")).otherwise(475.0).alias("z"))
+    land = M.largest_component(M.components(g.filter(F.col("z") > 430.0 + 1.0).select("i", "j"), X.WIDTH)).withColumn("land", F.lit(True))
+    return g.join(land, ["i", "j"], "left").select("i", "j", F.when(F.col("land"), F.col("z")).otherwise(430.0).alias("z"))
 
 
 GAPS = X.RASTER + ", n_rows AS (SELECT max(i) AS h FROM raster), gap AS (SELECT i, j FROM raster WHERE z IS NULL OR (i BETWEEN 20 AND 24 AND j BETWEEN 30 AND 36) OR (i BETWEEN 50 AND 52 AND j < 9))"
