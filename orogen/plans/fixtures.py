@@ -57,7 +57,7 @@ POINTS = """points AS (SELECT ((l_partkey*7919 + l_linenumber*31) % 4096)::DOUBL
  floor(l_extendedprice)::DOUBLE / 64.0::DOUBLE AS z, CASE WHEN l_linenumber=7 AND l_quantity<=5 THEN 7 WHEN l_linenumber=6 AND l_quantity<=5 THEN 18 WHEN l_returnflag='N' THEN 1 WHEN l_returnflag='A' THEN 5 ELSE 2 END AS cls,
  l_quantity = 50 AS withheld, (l_suppkey % 7)::INT AS file, l_linenumber::INT AS line FROM lineitem)"""
 GRID = """grid0 AS (SELECT vec_id AS i, unnest(range(len(embedding)))::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
-grid AS (SELECT i, j, v, floor(v*4096)::BIGINT AS k, floor(v*4096)/8.0::DOUBLE + 500.0 AS z, ((floor(v*4096)::BIGINT % 17)+17)%17 <> 0 AS valid FROM grid0)"""
+grid AS MATERIALIZED (SELECT i, j, v, floor(v*4096)::BIGINT AS k, floor(v*4096)/8.0::DOUBLE + 500.0 AS z, ((floor(v*4096)::BIGINT % 17)+17)%17 <> 0 AS valid FROM grid0)"""
 RASTER = GRID + ", raster AS (SELECT i, j, CASE WHEN valid THEN z END AS z FROM grid)"
 RASTERS = RASTER + ", raster2 AS (SELECT i, j, CASE WHEN (i*31+j)%11 <> 0 THEN z + 8.0 + ((i*3+j*5)%7)::DOUBLE/8.0 END AS z FROM grid)"
 

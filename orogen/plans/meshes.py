@@ -12,8 +12,8 @@ from orogen.shared import materialise
 
 BASE = 8.0
 K = f"WITH {KEPT}"
-H = """, h AS (SELECT k.i, k.j, a.z AS z00, b.z AS z01, c.z AS z10, d.z AS z11 FROM kept k JOIN grid a ON a.i=k.i AND a.j=k.j JOIN grid b ON b.i=k.i AND b.j=k.j+1 JOIN grid c ON c.i=k.i+1 AND c.j=k.j JOIN grid d ON d.i=k.i+1 AND d.j=k.j+1)"""
-NAMES = "ax, ay, az, bx, by, bz, cx, cy, cz"
+H = """, g AS MATERIALIZED (SELECT i*64+j AS id, z FROM grid), ki AS MATERIALIZED (SELECT i, j, i*64+j AS id FROM kept), h AS MATERIALIZED (SELECT k.i, k.j, a.z AS z00, b.z AS z01, c.z AS z10, d.z AS z11 FROM ki k JOIN g a ON a.id=k.id JOIN g b ON b.id=k.id+1 JOIN g c ON c.id=k.id+64 JOIN g d ON d.id=k.id+65)"""
+NAMES = 'ax, ay, az, bx, "by", bz, cx, cy, cz'
 
 
 def _corner(code: str) -> str:
@@ -38,7 +38,7 @@ WALL = " UNION ALL ".join(
     for s, p, q in (("n", "00", "01"), ("w", "10", "00"), ("s", "11", "10"), ("e", "01", "11"))
     for k, codes in ((0, f"{p}t {q}b {p}b"), (1, f"{p}t {q}t {q}b"))
 )
-MESH = f"{K}{H}, {SIDES}, tri AS ({TOP} UNION ALL {BOTTOM} UNION ALL {WALL})"
+MESH = f"{K}{H}, {SIDES}, tri AS MATERIALIZED ({TOP} UNION ALL {BOTTOM} UNION ALL {WALL})"
 
 
 def _heights(spark, sf):
@@ -85,9 +85,9 @@ def _collapsed(spark, sf):
     return t.select("part", "i", "j", "k", *[fold(c) if c[1] == "x" else F.col(c) for c in T.COORDS])
 
 
-FOLDED = f"{MESH}, f AS (SELECT part, i, j, k, floor(ax/2)*2 AS ax, ay, az, floor(bx/2)*2 AS bx, by, bz, floor(cx/2)*2 AS cx, cy, cz FROM tri)"
-SAME = "((ax::FLOAT = bx::FLOAT AND ay::FLOAT = by::FLOAT AND az::FLOAT = bz::FLOAT) OR (bx::FLOAT = cx::FLOAT AND by::FLOAT = cy::FLOAT AND bz::FLOAT = cz::FLOAT) OR (cx::FLOAT = ax::FLOAT AND cy::FLOAT = ay::FLOAT AND cz::FLOAT = az::FLOAT))"
-FLATAREA = "((by-ay)*(cz-az) - (bz-az)*(cy-ay) = 0 AND (bz-az)*(cx-ax) - (bx-ax)*(cz-az) = 0 AND (bx-ax)*(cy-ay) - (by-ay)*(cx-ax) = 0)"
+FOLDED = f"{MESH}, f AS (SELECT part, i, j, k, floor(ax/2)*2 AS ax, ay, az, floor(bx/2)*2 AS bx, \"by\", bz, floor(cx/2)*2 AS cx, cy, cz FROM tri)"
+SAME = "((ax::FLOAT = bx::FLOAT AND ay::FLOAT = \"by\"::FLOAT AND az::FLOAT = bz::FLOAT) OR (bx::FLOAT = cx::FLOAT AND \"by\"::FLOAT = cy::FLOAT AND bz::FLOAT = cz::FLOAT) OR (cx::FLOAT = ax::FLOAT AND cy::FLOAT = ay::FLOAT AND cz::FLOAT = az::FLOAT))"
+FLATAREA = "((\"by\"-ay)*(cz-az) - (bz-az)*(cy-ay) = 0 AND (bz-az)*(cx-ax) - (bx-ax)*(cz-az) = 0 AND (bx-ax)*(cy-ay) - (\"by\"-ay)*(cx-ax) = 0)"
 
 
 @query("q_drop_degenerate", f"{FOLDED} SELECT * FROM f WHERE NOT {SAME}")
@@ -100,7 +100,7 @@ def q_degenerate(spark, sf):
     return T.degenerate_count(_collapsed(spark, sf))
 
 
-VERT = "v AS (SELECT ax::FLOAT AS x, ay::FLOAT AS y, az::FLOAT AS z FROM tri UNION SELECT bx::FLOAT, by::FLOAT, bz::FLOAT FROM tri UNION SELECT cx::FLOAT, cy::FLOAT, cz::FLOAT FROM tri)"
+VERT = "v AS (SELECT ax::FLOAT AS x, ay::FLOAT AS y, az::FLOAT AS z FROM tri UNION SELECT bx::FLOAT, \"by\"::FLOAT, bz::FLOAT FROM tri UNION SELECT cx::FLOAT, cy::FLOAT, cz::FLOAT FROM tri)"
 
 
 @query("q_weld", f"{MESH}, {VERT} SELECT x, y, z FROM v")
@@ -115,7 +115,7 @@ def q_index_mesh(spark, sf):
     return indexed_vertices(mesh(spark, sf))
 
 
-EDGES = "e0 AS (SELECT row(ax, ay, az) AS p, row(bx, by, bz) AS q FROM tri UNION ALL SELECT row(bx, by, bz), row(cx, cy, cz) FROM tri UNION ALL SELECT row(cx, cy, cz), row(ax, ay, az) FROM tri)"
+EDGES = "e0 AS (SELECT row(ax, ay, az) AS p, row(bx, \"by\", bz) AS q FROM tri UNION ALL SELECT row(bx, \"by\", bz), row(cx, cy, cz) FROM tri UNION ALL SELECT row(cx, cy, cz), row(ax, ay, az) FROM tri)"
 
 
 @query("q_edge_report", f"{MESH}, {VERT}, {EDGES}, u AS (SELECT least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM e0 GROUP BY ALL), d AS (SELECT count(*) AS n FROM (SELECT p, q FROM e0 GROUP BY p, q HAVING count(*) > 1)) SELECT count(*) AS n_edges, count(*) FILTER (n = 1) AS n_open, count(*) FILTER (n > 2) AS n_over, (SELECT n FROM d) AS n_repeated, (SELECT count(*) FROM v) AS n_vertices FROM u")
@@ -134,7 +134,7 @@ def q_mesh_bbox(spark, sf):
     return T.bbox(mesh(spark, sf))
 
 
-@query("q_facet_normal", f"{K}{H}, t AS ({TOP}), c AS (SELECT i, j, k, (by-ay)*(cz-az) - (bz-az)*(cy-ay) AS x, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS y, (bx-ax)*(cy-ay) - (by-ay)*(cx-ax) AS z FROM t) SELECT i, j, k, round(x/sqrt(x*x+y*y+z*z), 9) AS nx, round(y/sqrt(x*x+y*y+z*z), 9) AS ny, round(z/sqrt(x*x+y*y+z*z), 9) AS nz FROM c")
+@query("q_facet_normal", f"{K}{H}, t AS ({TOP}), c AS (SELECT i, j, k, (\"by\"-ay)*(cz-az) - (bz-az)*(cy-ay) AS x, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS y, (bx-ax)*(cy-ay) - (\"by\"-ay)*(cx-ax) AS z FROM t) SELECT i, j, k, round(x/sqrt(x*x+y*y+z*z), 9) AS nx, round(y/sqrt(x*x+y*y+z*z), 9) AS ny, round(z/sqrt(x*x+y*y+z*z), 9) AS nz FROM c")
 def q_facet_normal(spark, sf):
     x, y, z = T.cross()
     n = F.sqrt(x * x + y * y + z * z)

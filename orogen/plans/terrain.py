@@ -234,9 +234,9 @@ def q_unpack(spark, sf):
 
 # Masks.
 MK = f"WITH {X.mask_sql()}"
-ER = f"er AS (SELECT m.i, m.j FROM mask m WHERE (SELECT count(*) FROM {X.NINE} o JOIN mask n ON n.i = m.i+di AND n.j = m.j+dj) = 9)"
-OP = ER + f", op AS (SELECT DISTINCT e.i+di AS i, (e.j+dj)::INT AS j FROM er e, {X.NINE})"
-QD = OP + ", qd AS (SELECT a.i, a.j FROM op a JOIN op b ON b.i=a.i AND b.j=a.j+1 JOIN op c ON c.i=a.i+1 AND c.j=a.j JOIN op d ON d.i=a.i+1 AND d.j=a.j+1)"
+ER = f"er AS MATERIALIZED (SELECT m.i, m.j FROM mask m WHERE (SELECT count(*) FROM {X.NINE} o JOIN mask n ON n.i = m.i+di AND n.j = m.j+dj) = 9)"
+OP = ER + f", op AS MATERIALIZED (SELECT DISTINCT e.i+di AS i, (e.j+dj)::INT AS j FROM er e, {X.NINE})"
+QD = OP + ", qd AS MATERIALIZED (SELECT a.i, a.j FROM op a JOIN op b ON b.i=a.i AND b.j=a.j+1 JOIN op c ON c.i=a.i+1 AND c.j=a.j JOIN op d ON d.i=a.i+1 AND d.j=a.j+1)"
 
 
 def _pinch(k: int) -> str:
@@ -244,13 +244,13 @@ def _pinch(k: int) -> str:
     out, was = "", "qd"
     for n in range(k):
         b = f"SELECT c.i, c.j, a.i IS NOT NULL AS a, b.i IS NOT NULL AS b, d.i IS NOT NULL AS d, e.i IS NOT NULL AS e FROM (SELECT DISTINCT q.i-x AS i, q.j-y AS j FROM {was} q, range(2) r(x), range(2) s(y)) c LEFT JOIN {was} a ON a.i=c.i AND a.j=c.j LEFT JOIN {was} b ON b.i=c.i AND b.j=c.j+1 LEFT JOIN {was} d ON d.i=c.i+1 AND d.j=c.j LEFT JOIN {was} e ON e.i=c.i+1 AND e.j=c.j+1"
-        out += f", b{n} AS ({b}), p{n} AS (SELECT i, j::INT AS j FROM {was} UNION SELECT i, (j+1)::INT FROM b{n} WHERE a AND e AND NOT b AND NOT d UNION SELECT i+1, j::INT FROM b{n} WHERE a AND e AND NOT b AND NOT d UNION SELECT i, j::INT FROM b{n} WHERE b AND d AND NOT a AND NOT e UNION SELECT i+1, (j+1)::INT FROM b{n} WHERE b AND d AND NOT a AND NOT e)"
+        out += f", b{n} AS ({b}), p{n} AS MATERIALIZED (SELECT i, j::INT AS j FROM {was} UNION SELECT i, (j+1)::INT FROM b{n} WHERE a AND e AND NOT b AND NOT d UNION SELECT i+1, j::INT FROM b{n} WHERE a AND e AND NOT b AND NOT d UNION SELECT i, j::INT FROM b{n} WHERE b AND d AND NOT a AND NOT e UNION SELECT i+1, (j+1)::INT FROM b{n} WHERE b AND d AND NOT a AND NOT e)"
         was = f"p{n}"
-    return out + f", kept AS (SELECT i, j FROM {was})"
+    return out + f", kept AS MATERIALIZED (SELECT i, j FROM {was})"
 
 
 KEPT = f"{X.mask_sql()}, {QD}{_pinch(4)}"
-SIDES = "side AS (SELECT i, j, s AS side FROM kept k, (VALUES ('n',-1,0),('s',1,0),('w',0,-1),('e',0,1)) v(s, di, dj) WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.i = k.i+di AND o.j = k.j+dj))"
+SIDES = "side AS MATERIALIZED (SELECT i, j, s AS side FROM kept k, (VALUES ('n',-1,0),('s',1,0),('w',0,-1),('e',0,1)) v(s, di, dj) WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.i = k.i+di AND o.j = k.j+dj))"
 
 
 def _opened(spark, sf):
