@@ -121,6 +121,7 @@ def q_tile_overlap_latest(spark, sf):
     return C.overlapping_latest(t, 40.0, 25.0, 85.0, 60.0, 10.0)
 
 
+# Names, order of preference and boxes (west, south, east, north) of public elevation services.
 REGISTRY = [("swisstopo", 1, 5.9, 45.8, 10.5, 47.9), ("kartverket", 2, 4.0, 57.5, 31.5, 71.5), ("ign", 3, -5.5, 41.0, 10.0, 51.5), ("usgs", 4, -125.0, 24.0, -66.0, 50.0), ("gsi", 5, 122.0, 20.0, 154.0, 46.0)]
 REG = "reg(name, prio, w, s, e, n) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE)" for a, b, c, d, e, f in REGISTRY) + ")"
 

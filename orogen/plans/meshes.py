@@ -149,7 +149,7 @@ def q_obj_lines(spark, sf):
 
 
 def solids(spark):
-    """Two cubes apart, the second with one face turned over and a third one open: faces as rows of a mesh."""
+    """Two closed cubes apart and a third that lacks a triangle: faces as rows of a mesh."""
     from orogen.sources.mesh_files import cube
 
     rows = [("a", *t) for t in cube(0, 0, 0)] + [("b", *t) for t in cube(5, 0, 0)] + [("c", *t) for t in cube(10, 0, 0)[1:]]
