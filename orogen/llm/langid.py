@@ -13,12 +13,15 @@ repeated rows are predicted each; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ WORD = re.compile(r"\w+")
 MAX_PIECE = 12
 LONGEST = 30  # a longer run of letters is scored in slices of this many characters
 UNDETERMINED = "und"
+GROUP_BYTES = 4 << 20  # texts whose unseen words are scored together
+FORWARD_WORDS = 2048  # words of one length that the forward sums take at a time
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def pieces(vocabulary: str) -> dict[str, int]:
@@ -89,56 +95,119 @@ def _expect(w: str, n: int, model: tuple[dict[str, float], float], out: dict[str
 
 
 class Scorer:
-    """log P(word | language) for all languages at once, kept per word."""
+    """log P(word | language) for all languages at once, kept per word.
+
+    Unseen words of a group of texts are scored together: substrings are looked up by a 64-bit rolling hash, and the
+    forward sums run over all words of one length at a time.
+    """
 
     def __init__(self, model: dict[str, tuple[dict[str, float], float]], index: dict[str, int], limit: int = 200_000):
-        self.langs, self.index, self.limit = sorted(model), index, limit
-        rare = [model[x][1] for x in self.langs]
-        seen = set().union(*(model[x][0] for x in self.langs)) if model else set()
-        self.probs = {p: tuple(model[x][0].get(p, r) for x, r in zip(self.langs, rare, strict=True)) for p in seen}
-        self.rare = tuple(rare)
-        self.held: dict[str, tuple[float, ...]] = {}
+        self.langs, self.limit = sorted(model), limit
+        k = len(self.langs)
+        rare = np.array([model[x][1] for x in self.langs])
+        seen = sorted(set().union(*(model[x][0] for x in self.langs))) if model else []
+        # Row 0: not a piece; row 1: a piece of the vocabulary, or a character, that training didn't meet.
+        self.probs = np.zeros((len(seen) + 2, k))
+        self.probs[1] = rare
+        for c, x in enumerate(self.langs):
+            self.probs[2:, c] = [model[x][0].get(p, rare[c]) for p in seen]
+        row = {p: 1 for p in index} | {p: r for r, p in enumerate(seen, 2)}
+        by_size: dict[int, list[str]] = {}
+        for p in row:
+            by_size.setdefault(len(p), []).append(p)
+        hashed = [(next(h for m, h in _hashes(_codes(ps).reshape(-1, n)) if m == n)[:, 0], [row[p] for p in ps]) for n, ps in by_size.items()]
+        keys = np.concatenate([h for h, _ in hashed]) if hashed else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], np.array([r for _, rs in hashed for r in rs], np.int64)[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys >> np.uint64(44)] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.held: dict[str, int] = {}  # row of a word in scores; 0 without a letter
+        self.scores = np.zeros((1, len(self.langs)))
+
+    def _find(self, hashed: np.ndarray) -> np.ndarray:
+        out = np.zeros(hashed.size, np.int64)
+        flat = hashed.ravel()
+        at = np.flatnonzero(self.maybe[flat >> np.uint64(44)])
+        if at.size:
+            sought = flat[at]
+            near = np.minimum(np.searchsorted(self.keys, sought), self.keys.size - 1)
+            out[at] = np.where(self.keys[near] == sought, self.rows[near], 0)
+        return out.reshape(hashed.shape)
+
+    def _forward(self, slices: list[str]) -> np.ndarray:
+        """log P of each slice, a column per language."""
+        out, sizes = np.empty((len(slices), len(self.langs))), np.fromiter(map(len, slices), np.int64, len(slices))
+        for size in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == size)
+            for own in np.array_split(which, -(-which.size // FORWARD_WORDS)):
+                ahead = np.zeros((size + 1, own.size, len(self.langs)))
+                ahead[0] = 1.0
+                found = {}
+                for m, h in _hashes(_codes([slices[x] for x in own]).reshape(-1, size)):
+                    r = self._find(h)
+                    found[m] = np.maximum(r, 1) if m == 1 else r
+                for j in range(1, size + 1):
+                    for m in range(1, min(j, MAX_PIECE) + 1):
+                        r = found[m][:, j - m]
+                        if r.any():
+                            ahead[j] += ahead[j - m] * self.probs[r]
+                out[own] = np.log(np.maximum(ahead[size], math.exp(-745.0)))
+        return out
 
     def word(self, w: str) -> tuple[float, ...]:
-        size, n = len(w), len(self.langs)
-        ahead: list[list[float] | None] = [None] * (size + 1)
-        ahead[0] = [1.0] * n
-        index, probs, rare, span = self.index, self.probs, self.rare, range(n)
-        for i in range(size):
-            a = ahead[i]
-            if a is None:
-                continue
-            for j in range(i + 1, min(size, i + MAX_PIECE) + 1):
-                x = w[i:j]
-                p = probs.get(x) or (rare if j == i + 1 or x in index else None)
-                if p is not None:
-                    to = ahead[j]
-                    if to is None:
-                        ahead[j] = [a[k] * p[k] for k in span]
-                    else:
-                        for k in span:
-                            to[k] += a[k] * p[k]
-        return tuple(math.log(v) if v > 0 else -745.0 for v in ahead[size])
-
-    def score(self, word: str) -> tuple[float, ...]:
-        """Kept outcome of a word; empty for a word without a letter."""
-        v = self.held.get(word)
-        if v is None:
-            if len(self.held) >= self.limit:
-                self.held.clear()
-            v = self.held[word] = tuple(map(sum, zip(*map(self.word, _slices(word)), strict=True))) if has_letter(word) else ()
-        return v
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        total, found = [0.0] * len(self.langs), False
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            if v := self.score(w):
-                found = True
-                total = [t + n * x for t, x in zip(total, v)]  # noqa: B905
-        if not found:
-            return UNDETERMINED, 0.0
-        best = max(range(len(total)), key=total.__getitem__)
-        return self.langs[best], 1.0 / sum(math.exp(max(-700.0, t - total[best])) for t in total)
+        return tuple(self._forward([w])[0])
+
+    def _hold(self, words: set[str]) -> None:
+        """Score the words that aren't held; the table starts anew where they would exceed its limit."""
+        new = words - self.held.keys()
+        if self.held and len(self.held) + len(new) > self.limit:
+            self._clear()
+            new = words
+        lettered = []
+        for w in new:
+            if has_letter(w):
+                lettered.append(w)
+            else:
+                self.held[w] = 0
+        if lettered:
+            parts = [_slices(w) for w in lettered]
+            starts = np.cumsum([0, *map(len, parts)])[:-1]
+            scores = np.add.reduceat(self._forward([x for p in parts for x in p]), starts, axis=0)
+            self.held |= zip(lettered, range(len(self.scores), len(self.scores) + len(lettered)), strict=True)
+            self.scores = np.concatenate([self.scores, scores])
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        if not self.langs or not texts:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        counted = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        self._hold(set().union(*counted))
+        sizes = np.fromiter(map(len, counted), np.int64, len(counted))
+        rows = np.fromiter((self.held[w] for c in counted for w in c), np.int64, sizes.sum())
+        times = np.fromiter((n for c in counted for n in c.values()), np.float64, sizes.sum())
+        total, found = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
+        if some := np.flatnonzero(sizes).tolist():
+            starts = (np.cumsum(sizes) - sizes)[some]
+            total[some] = np.add.reduceat(self.scores[rows] * times[:, None], starts, axis=0)
+            found[some] = np.logical_or.reduceat(rows > 0, starts)
+        best = total.argmax(axis=1)
+        score = 1.0 / np.exp(np.maximum(-700.0, total - total.max(axis=1, keepdims=True))).sum(axis=1)
+        return [self.langs[b] if f else UNDETERMINED for b, f in zip(best.tolist(), found.tolist(), strict=True)], np.where(found, score, 0.0)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length m: hashes of the substrings of that length of every row, by start."""
+    h = np.zeros(codes.shape, np.uint64)
+    for m in range(1, min(codes.shape[1], MAX_PIECE) + 1):
+        h = h[:, : codes.shape[1] - m + 1] * STEP + (codes[:, m - 1 :] + np.uint64(1))
+        yield m, (h ^ (h >> np.uint64(32))) * MIX
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,7 +243,10 @@ def predict(docs: DataFrame, model: dict, index: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for b in batches:
-            out = [scorer.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            ids, texts = b.column(0).cast(pa.int64()), b.column(1)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // GROUP_BYTES
+            for first, after in itertools.pairwise([0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]):
+                langs, scores = scorer.predict(texts.slice(first, after - first).to_pylist())
+                yield pa.record_batch([ids.slice(first, after - first), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
