@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import decontaminate, linededup, packing, rules, simhash
+from orogen.llm import decontaminate, linededup, nearcopies, packing, rules
 from orogen.llm.queries import BYTE_BPE, vocabulary
 from orogen.shared import materialise
 from orogen.tables import table
@@ -36,13 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash class; of rows with that same doc_id, one."""
-    found = materialise(simhash.classes(docs), "near-classes")
-    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
-    again = materialise(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    return _without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each text, and none that a kept one with a near fingerprint equals in 0.8 of its five-word shingles."""
+    return nearcopies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

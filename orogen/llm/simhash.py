@@ -99,13 +99,25 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, salt: np.ndarray, salts: np.ndarr
         if len(at):
             low = fps[at] & np.uint64((1 << low_bits) - 1)
             v = ((prefix[at] << np.uint64(low_bits)) | low)[:, None] ^ _masks(low_bits, r)[None, :]
-            o = np.broadcast_to(at[:, None], v.shape)
             if (salts[at] > 1).any():
                 mine = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % salts[at, None].astype(np.uint64) == salt[at, None].astype(np.uint64)
-                v, o = v[mine], o[mine]
-            values.append(v.ravel())
-            owners.append(o.ravel())
-    v, o = np.concatenate(values), np.concatenate(owners)
+                values.append(v[mine])
+                owners.append((at[np.nonzero(mine)[0]], 1))
+            else:
+                values.append(v.ravel())
+                owners.append((at, v.shape[1]))
+    # Values are sorted alone, which is fast; owners are looked up only for the few values that occur twice.
+    v = np.sort(np.concatenate(values))
+    met = np.unique(v[1:][v[1:] == v[:-1]])
+    if not len(met):
+        return fps[:0], fps[:0]
+    keys, own = [], []
+    for v, (at, columns) in zip(values, owners, strict=True):
+        place = np.minimum(np.searchsorted(met, v), len(met) - 1)
+        hit = np.flatnonzero(met[place] == v)
+        keys.append(place[hit])
+        own.append(at[hit // columns])
+    v, o = np.concatenate(keys), np.concatenate(own)
     order = np.argsort(v, kind="stable")
     same = np.flatnonzero(v[order[1:]] == v[order[:-1]])
     names, node = np.unique(fps, return_inverse=True)
@@ -116,12 +128,28 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, salt: np.ndarray, salts: np.ndarr
     return names[moved], names[label[moved]]
 
 
-def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """(a, b): a spanning set of the links between the n distinct fingerprints ``fp``."""
+def _divide(cols: tuple[np.ndarray, ...], bits: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of _meet, from longer prefixes where these hold more than CHUNK_VALUES values."""
+    prefix, fps, salt, salts = cols
+    each = np.array([len(_masks(64 - bits, half - u)) for u in range(half + 1)], dtype=np.int64)
+    work = int(each[np.bitwise_count((fps >> np.uint64(64 - bits)) ^ prefix)].sum())
+    if work <= 2 * CHUNK_VALUES or bits > 40:
+        yield _meet(*cols, bits, half)
+        return
+    more = 3
+    for k in range(1 << more):
+        longer = (prefix << np.uint64(more)) | np.uint64(k)
+        near = np.bitwise_count((fps >> np.uint64(64 - bits - more)) ^ longer) <= half
+        if near.any():
+            yield from _divide((longer[near], fps[near], salt[near], salts[near]), bits + more, half)
+
+
+def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b): a spanning set of the links between the n distinct fingerprints ``fp``; more bucket_rows: fewer rows through the shuffle."""
     half, bits = radius // 2, 8
     if radius % 2:
         raise ValueError("an even radius has a middle")
-    while bits < 30 and n * len(_masks(bits, half)) > BUCKET_ROWS << bits:
+    while bits < 30 and n * len(_masks(bits, half)) > bucket_rows << bits:
         bits += 1
     masks = F.array(*[F.lit(int(m)) for m in _masks(bits, half)]).cast("array<int>")
     rows = distinct.select("fp", F.explode(masks).alias("m")).select("fp", F.shiftrightunsigned("fp", 64 - bits).cast("int").bitwiseXOR(F.col("m")).alias("prefix"))
@@ -136,9 +164,11 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
+        limit = 1 << 17
+
         def flush(cols):
-            a, b = _meet(*cols, bits, half)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            for a, b in _divide(tuple(cols), bits, half):
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         def cuts(cols, final):
             """Slices at prefix borders of about CHUNK_VALUES values; the rest stays."""
@@ -156,14 +186,15 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
         for b in batches:
             held.append((b.column("prefix").to_numpy().astype(np.uint64), b.column("fp").to_numpy().view(np.uint64), b.column("salt").to_numpy(), b.column("salts").to_numpy()))
-            if sum(len(h[0]) for h in held) >= 1 << 17:
+            if sum(len(h[0]) for h in held) >= limit:
                 cols, at = tuple(map(np.concatenate, zip(*held, strict=True))), 0
                 for s, at in cuts(cols, False):
-                    yield flush([c[s:at] for c in cols])
+                    yield from flush([c[s:at] for c in cols])
                 held = [tuple(c[at:] for c in cols)]
+                limit = max(1 << 17, 2 * len(held[0][0]))
         if held and len((cols := tuple(map(np.concatenate, zip(*held, strict=True))))[0]):
             for s, e in cuts(cols, True):
-                yield flush([c[s:e] for c in cols])
+                yield from flush([c[s:e] for c in cols])
 
     return rows.select("prefix", "fp", "salt", "salts").mapInArrow(run, "a long, b long")
 
