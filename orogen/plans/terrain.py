@@ -269,7 +269,8 @@ def q_erode(spark, sf):
 
 @query("q_dilate", f"{MK} SELECT DISTINCT m.i+di AS i, (m.j+dj)::INT AS j FROM mask m, {X.NINE} WHERE m.i % 5 = 0 AND m.i+di >= 0 AND m.j+dj BETWEEN 0 AND 63 AND m.i+di < 400")
 def q_dilate(spark, sf):
-    return M.dilate(X.mask(spark, sf).filter("i % 5 = 0"), 400, X.WIDTH)
+    height = X.grid(spark, sf).agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
+    return M.dilate(X.mask(spark, sf), height, X.WIDTH)
 
 
 @query("q_open_mask", f"{MK}, {OP} SELECT * FROM op")
