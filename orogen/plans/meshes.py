@@ -158,7 +158,7 @@ def solids(spark):
 
 @query("q_shells", "SELECT * FROM (VALUES ('a/0/0/0', 8::BIGINT, 18::BIGINT, 12::BIGINT), ('b/12/0/0', 8, 18, 12), ('c/24/0/0', 8, 18, 11)) t(shell, n_vertices, n_edges, n_faces)")
 def q_shells(spark, sf):
-    return T.shells(solids(spark)).drop("euler")
+    return T.shells(materialise(mesh(spark, sf), "mesh")).drop("euler")
 
 
 @query("q_euler", f"{MESH}, {VERT}, {EDGES}, u AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM e0) SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM u) + (SELECT count(*) FROM tri) AS euler")
@@ -168,7 +168,7 @@ def q_euler(spark, sf):
 
 @query("q_inverted")
 def q_inverted(spark, sf):
-    return T.inverted(solids(spark))
+    return T.inverted(materialise(mesh(spark, sf), "mesh"))
 
 
 @query("q_check_mesh", f"{MESH}, {EDGES}, u AS (SELECT least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM e0 GROUP BY ALL), x AS (SELECT max(greatest(ax,bx,cx)) - min(least(ax,bx,cx)) <= 64 AS ok FROM tri) SELECT 'open edges' AS name, (SELECT count(*) FROM u WHERE n = 1) = 0 AS passed UNION ALL SELECT 'volume', true UNION ALL SELECT 'width', ok FROM x UNION ALL SELECT 'degenerate', NOT EXISTS (SELECT 1 FROM tri WHERE {SAME})")
