@@ -2,7 +2,7 @@
 
 Each stage takes the whole table its predecessor kept and returns a DataFrame that is written and read again, so a lost
 executor costs the stage at hand only.  All stages but the last return the columns of ``documents``; n_chars follows
-the text.  A stage drops documents by their doc_id.
+the text.  What a stage drops follows from the text, so null and repeated doc_ids need no care.
 """
 
 from __future__ import annotations
@@ -15,14 +15,6 @@ from orogen.llm.queries import BYTE_BPE, vocabulary
 from orogen.shared import materialise
 from orogen.tables import table
 
-BROADCAST_IDS = 2_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't in ids.  Few ids go to the documents; many are joined with them by a shuffle."""
-    ids = materialise(ids.select("doc_id").distinct(), "dropped-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy keeps."""
@@ -42,7 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a telling share of benchmark passages."""
-    return _without(docs, decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    keyed = docs.withColumn("__key", nearcopies.text_key(F.col("text")))
+    found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"), keep=("__key",)).filter("contaminated")
+    found = materialise(found.select("__key").distinct(), "dropped-texts")
+    return keyed.join(nearcopies.few(found, found.count()), "__key", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
