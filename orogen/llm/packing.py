@@ -16,6 +16,7 @@ empty table gives no pieces; other columns are ignored; a piece is never longer
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -121,18 +122,18 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, reo
 
     reopen: sequences that a task leaves filled less than this share are packed again across partitions.
     """
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def first(batches):
-        table, base = IdTable(tokenizer), TaskContext.get().partitionId() * PER_TASK
+        table, base = IdTable.of_worker(tokenizer), TaskContext.get().partitionId() * PER_TASK
 
         def pieces():
             for b in batches:
-                keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-                for key, ids in zip(keys, table.many(texts), strict=True):
-                    ids += end
-                    for k, (s, n) in enumerate(_cut(len(ids) // 4, size)):
-                        yield key, k, s, n, ids[4 * s : 4 * (s + n)]
+                keys = iter(b.column(0).to_pylist())
+                for ids, ends in table.many(b.column(1), end_id):
+                    raw, ends = ids.tobytes(), ends.tolist()
+                    for key, at, to in zip(islice(keys, len(ends) - 1), ends, ends[1:]):
+                        for k, (s, n) in enumerate(_cut(to - at, size)):
+                            yield key, k, s, n, raw[4 * (at + s) : 4 * (at + s + n)]
 
         yield from _packed(pieces(), size, base, reopen)
 

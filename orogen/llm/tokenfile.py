@@ -14,8 +14,7 @@ checksum of its ids.  A worker holds one segment, at most SEGMENT_TOKENS and one
 All integers are little-endian.  Segments are the rows of a Parquet table in the shared folder (partition, segment, counts,
 bytes), so any store that Spark reads will do, and a lost task is written anew by the commit protocol.
 
-Defined cases: a null or empty text is one end id; null doc_ids come first; repeated rows stay, in any order among
-themselves; an empty table gives no segments; other columns are not read.
+Defined cases: a null or empty text is one end id; null doc_ids come first; repeated rows stay, in the order of reading; an empty table gives no segments; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +22,12 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.llm.tokenise import IdTable
@@ -37,6 +37,9 @@ LANES = 4096
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 20
 SEGMENT_TOKENS = 1 << 22
+PART_BYTES = 32 << 20  # of the stored table
+MOST_PARTS = 1 << 20
+BROADCAST_SEGMENTS = 1_000_000
 LOW = np.uint64(1 << 31)
 SCHEMA = "part int, segment int, n_docs long, n_tokens long, bytes binary"
 DECODED = "part int, segment int, doc_id long, local_start long, ids binary"
@@ -157,11 +160,12 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write all documents' ids in ascending doc_id; the written table of segments."""
-    end = struct.pack("<I", end_id)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES) if size < 1 << 60 else 0)  # a size of 2**63 - 1 means unknown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, segment = IdTable(tokenizer), TaskContext.get().partitionId(), 0
+        table, part, segment = IdTable.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         keys, held, tokens = [], [], 0
 
         def flush():
@@ -169,18 +173,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
             return pa.record_batch([pa.array(v, t) for v, t in cols], names=["part", "segment", "n_docs", "n_tokens", "bytes"])
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), table.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                keys.append(key)
-                held.append(ids + end)
-                tokens += len(held[-1]) // 4
-                if tokens >= SEGMENT_TOKENS:
-                    yield flush()
-                    keys, held, tokens, segment = [], [], 0, segment + 1
+            own = iter(b.column(0).to_pylist())
+            for ids, ends in table.many(b.column(1), end_id):
+                raw, ends = ids.tobytes(), ends.tolist()
+                for key, at, to in zip(islice(own, len(ends) - 1), ends, ends[1:]):
+                    keys.append(key)
+                    held.append(raw[4 * at : 4 * to])
+                    tokens += to - at
+                    if tokens >= SEGMENT_TOKENS:
+                        yield flush()
+                        keys, held, tokens, segment = [], [], 0, segment + 1
         if keys:
             yield flush()
 
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return materialise(rows.mapInArrow(run, SCHEMA), "token-segments", compression="none")
+    # The row number parts the rows of a hot or null doc_id; it is the same whenever a lost task reads its split again.
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    return materialise(rows.select("doc_id", "text").mapInArrow(run, SCHEMA), "token-segments", compression="none")
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -199,12 +208,13 @@ def read(segments: DataFrame) -> DataFrame:
                     )
                     yield pa.record_batch([pa.array(v, t) for v, t in cols], names=["part", "segment", "doc_id", "local_start", "ids"])
 
-    # One row per segment, a few million tokens each: the running sum is over the manifest only.
-    manifest = segments.select("part", "segment", "n_tokens").orderBy("part", "segment").collect()
-    base, rows = 0, []
-    for r in manifest:
-        rows.append((r["part"], r["segment"], base))
-        base += r["n_tokens"]
-    bases = segments.sparkSession.createDataFrame(rows, "part int, segment int, base long")
+    # A number per partition comes to the driver; segments within a partition are summed where they are.
+    sums = dict(sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()))
+    before = dict(zip(sums, [0, *accumulate(sums.values())], strict=False))
+    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
+    starts = segments.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    bases = manifest.join(F.broadcast(starts), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("base"))
     found = segments.select("part", "segment", "bytes").mapInArrow(run, DECODED)
-    return found.join(F.broadcast(bases) if len(rows) <= 1_000_000 else bases, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids")
+    few = segments.count() <= BROADCAST_SEGMENTS
+    return found.join(F.broadcast(bases) if few else bases, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids")
