@@ -3,7 +3,8 @@
 Each step keeps the components and pulls every node towards the smallest node it sees; a few steps suffice whatever the
 diameter.  A step is a map-side-combined minimum and a join of the edges with one row per node, so that a hub only ever
 makes one side of a join large, which adaptive execution splits.  Every round is written to the shared folder: its
-lineage ends there, the round before is deleted, and nothing but two numbers comes to the driver.
+lineage ends there, the round before is deleted, and nothing but two numbers comes to the driver.  The edges themselves
+are computed once: the first table holds them, loops included, and all that follows reads it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.shared import drop_path, new_path
+from orogen.shared import drop_path, materialise, new_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,12 +31,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component): every node of the edges with the smallest node it is connected to; loops and nulls are ignored."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)[a]
-    current = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    loops = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
+    given = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), "edges")
+    loops, current = given.filter("u = v").select(F.col("u").alias("node")), given.filter("u <> v")
     before, path, lasting = None, None, False
     for _ in range(max_rounds):
         to = new_path(spark, "components")
-        (current if path is None else _star(_star(current, True), False)).write.parquet(to)
+        _star(_star(current, True), False).write.parquet(to)
         current = spark.read.schema(f"u {kind}, v {kind}").parquet(to)
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if path is not None:
