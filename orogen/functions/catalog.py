@@ -6,14 +6,30 @@ Fixed values: class and unit names, factors, tile name patterns and zones are th
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRES_PER_DEGREE = 111_320.0
-UNIT_FACTORS = {"m": 1.0, "metre": 1.0, "meter": 1.0, "metres": 1.0, "meters": 1.0, "km": 1000.0, "ft": 0.3048, "foot": 0.3048, "feet": 0.3048, "ussurveyfoot": 1200.0 / 3937.0, "usft": 1200.0 / 3937.0, "cm": 0.01, "mm": 0.001}
-ELEVATION_NAMES = ("elevation", "altitude", "height", "topo", "z", "dem")
-STANDARD_NAMES = ("surface_altitude", "height_above_reference_ellipsoid")
+# Unit names without blanks, hyphens, dots and underscores, in lower case, with metres per unit.
+_FOOT, _SURVEY_FOOT = 0.3048, 1200.0 / 3937.0
+_PREFIXES = {"": 1.0, "kilo": 1000.0, "centi": 0.01, "milli": 0.001}
+UNIT_FACTORS = {
+    **{p + name: f for p, f in _PREFIXES.items() for name in ("metre", "metres", "meter", "meters")}, "m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001,
+    **dict.fromkeys(("ft", "foot", "feet", "internationalfoot", "internationalfeet"), _FOOT),
+    **dict.fromkeys(("usft", "ftus", "footus", "usfoot", "ussurveyfoot", "ussurveyfeet"), _SURVEY_FOOT),
+}
+# Names, CF standard names and title words by which a variable says that it is an elevation.
+ELEVATION_NAMES = (
+    "alt", "altitude", "bathymetry", "dem", "depth", "dsm", "dtm", "elev", "elevation", "height", "hgt", "orog", "orography", "relief", "surface_altitude", "terrain", "topo", "topography", "z",
+)
+STANDARD_NAMES = (
+    "altitude", "bedrock_altitude", "geoid_height_above_reference_ellipsoid", "height", "height_above_geopotential_datum", "height_above_mean_sea_level", "height_above_reference_ellipsoid",
+    "land_surface_altitude", "sea_floor_depth_below_geoid", "sea_floor_depth_below_reference_ellipsoid", "sea_floor_depth_below_sea_level", "sea_floor_depth_below_sea_surface", "surface_altitude",
+    "surface_altitude_above_geoid",
+)
+TITLE_WORDS = ("elevation", "altitude", "topograph", "bathymetr", "height above")
 RESAMPLING = ("average", "bilinear", "cubic", "cubicspline")
 
 
@@ -23,7 +39,29 @@ def detect_kind(path: Column, head: Column) -> Column:
 
 
 def elevation_like(name: Column, standard: Column, long: Column) -> Column:
-    return F.lower(name).isin(*ELEVATION_NAMES) | standard.isin(*STANDARD_NAMES) | F.lower(long).contains("elevation")
+    """By the standard name, the last component of the variable's path, or a word of its title, whatever their case."""
+    last = F.lower(F.substring_index(name, "/", -1))
+    titled = [F.contains(F.lower(F.coalesce(long, F.lit(""))), F.lit(w)) for w in TITLE_WORDS]
+    return F.coalesce(F.lower(F.trim(standard)).isin(*STANDARD_NAMES), F.lit(False)) | last.isin(*ELEVATION_NAMES) | reduce(Column.__or__, titled)
+
+
+def choose_variable(variables: DataFrame, wanted: str | None = None) -> DataFrame:
+    """(file, name, reason) per file: the variable to read of (file, name, standard, long).
+
+    A wanted name is the whole path, or the last component if only one variable has it.  Without one, the only variable
+    of a file is taken if it is like an elevation, and of several the only one that is; name is NULL otherwise.
+    """
+    path, last = F.trim(F.col("name"), F.lit("/")), F.substring_index("name", "/", -1)
+    if wanted is not None:
+        w = wanted.strip()
+        hit, tail = path == w.strip("/"), last == w
+    else:
+        hit, tail = elevation_like(F.col("name"), F.col("standard"), F.col("long")), F.lit(False)
+    n = variables.groupBy("file").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(tail).alias("tails"), F.min(F.when(hit, F.col("name"))).alias("hit"), F.min(F.when(tail, F.col("name"))).alias("tail"),
+    )
+    chosen = F.when(F.col("hits") == 1, F.col("hit")).when(F.col("tails") == 1, F.col("tail"))
+    return n.select("file", chosen.alias("name"), F.when(chosen.isNotNull(), "chosen").when(F.col("hits") + F.col("tails") == 0, "none").otherwise("several").alias("reason"))
 
 
 def retry_after(value: Column, now: Column, cap: float = 60.0) -> Column:
@@ -99,10 +137,11 @@ def overlapping_latest(tiles: DataFrame, west: float, south: float, east: float,
 
 def covers(places: DataFrame, registry: DataFrame) -> DataFrame:
     """Places with every source whose closed box holds them; the registry is a handful of rows."""
-    return places.join(F.broadcast(registry), F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    return places.join(F.broadcast(registry), F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))).dropDuplicates(["id", "name"])
 
 
 def auto_source(places: DataFrame, registry: DataFrame, default: str = "copernicus") -> DataFrame:
+    """(id, source): of the sources that hold a place in one of their boxes the first in order, NULL order never."""
     rows = places.join(F.broadcast(registry), F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")), "left")
     return rows.groupBy("id").agg(F.coalesce(F.min_by("name", "prio"), F.lit(default)).alias("source"))
 

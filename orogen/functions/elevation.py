@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,13 @@ def relief_stats(grid: DataFrame, scale: float, exaggeration: float, diameter: f
 
 
 class AltitudeCurve:
-    """Monotone cubic through control points (altitude, equivalent altitude), straight beyond its ends."""
+    """Monotone cubic through control points (altitude, equivalent altitude); beyond its ends it goes on with the mean slope
+    of the end segment.  NaN stays NaN and NULL stays NULL."""
 
     def __init__(self, points: tuple[tuple[float, float], ...]):
         xs, ys = [p[0] for p in points], [p[1] for p in points]
-        if len(points) < 2 or any(b <= a for a, b in zip(xs, xs[1:])) or any(b < a for a, b in zip(ys, ys[1:])) or ys[0] == ys[-1]:
-            raise ValueError("altitudes must rise, equivalents must not fall, and not all be equal")
+        if len(points) < 2 or not all(map(math.isfinite, xs + ys)) or any(b <= a for a, b in zip(xs, xs[1:])) or any(b < a for a, b in zip(ys, ys[1:])) or ys[0] == ys[-1]:
+            raise ValueError("two finite points or more; altitudes must rise, equivalents must not fall, and not all be equal")
         self.xs, self.ys = xs, ys
         h = [b - a for a, b in zip(xs, xs[1:])]
         s = [(b - a) / k for a, b, k in zip(ys, ys[1:], h)]
@@ -55,8 +58,8 @@ class AltitudeCurve:
 
     def column(self, a: Column) -> Column:
         """The curve at an altitude, as one chain of conditions over the segments."""
-        xs, ys, m = self.xs, self.ys, self.slopes
-        out = F.when(a < xs[0], F.lit(ys[0]) + F.lit(m[0]) * (a - xs[0])).when(a > xs[-1], F.lit(ys[-1]) + F.lit(m[-1]) * (a - xs[-1]))
+        xs, ys, m, s = self.xs, self.ys, self.slopes, self.secants
+        out = F.when(a < xs[0], F.lit(ys[0]) + F.lit(s[0]) * (a - xs[0])).when(a > xs[-1], F.lit(ys[-1]) + F.lit(s[-1]) * (a - xs[-1]))
         for k, h in enumerate(self.steps):
             t = (a - xs[k]) / h
             cubic = (1 + 2 * t) * (1 - t) * (1 - t) * ys[k] + t * (1 - t) * (1 - t) * (h * m[k]) + t * t * (3 - 2 * t) * ys[k + 1] + t * t * (t - 1) * (h * m[k + 1])

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from orogen.operators.morphology import EIGHT, components, spread
 
 
-def disc(ci: float, cj: float, r: float) -> Column:
-    """Closed disc about a grid position."""
-    di, dj = F.col("i") - F.lit(float(ci)), F.col("j") - F.lit(float(cj))
+def disc(ci: float, cj: float, r: float, rows: int | None = None) -> Column:
+    """Closed disc about a grid position; one in every ``rows`` rows if given."""
+    di, dj = (F.col("i") if rows is None else F.col("i") % rows) - F.lit(float(ci)), F.col("j") - F.lit(float(cj))
     return di * di + dj * dj <= F.lit(float(r * r))
 
 
@@ -41,35 +41,64 @@ def neighbour_stats(grid: DataFrame) -> DataFrame:
 
 
 def despike(grid: DataFrame, tolerance: float, least: int = 5) -> DataFrame:
-    """A cell beyond its valid neighbours by more than their spread and the tolerance loses its value."""
+    """A cell beyond its valid neighbours by more than their spread and the tolerance loses its value; none does if the tolerance isn't positive."""
+    if tolerance <= 0:
+        return grid.select("i", "j", "z")
     near = neighbour_stats(grid)
     z, margin = F.col("z"), F.col("high") - F.col("low") + tolerance
     spike = (F.col("n") >= least) & ((z > F.col("high") + margin) | (z < F.col("low") - margin))
     return grid.join(near, ["i", "j"], "left").select("i", "j", F.when(~F.coalesce(spike, F.lit(False)), z).alias("z"))
 
 
-def _offsets(radius: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]
+def _along_rows(grid: DataFrame) -> DataFrame:
+    """Cells with the nearest valid cells (j, z) of their own row: l west of them, o where they are, r east of them."""
+    order = Window.partitionBy("i").orderBy("j")
+    known = F.when(F.col("z").isNotNull(), F.struct("j", "z"))
+    left = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return grid.withColumn("l", left).withColumn("o", known).withColumn("r", right).select("i", "j", "z", "l", "o", "r")
 
 
-def fill_nearest(grid: DataFrame, radius: int) -> DataFrame:
-    """Holes take the value of the nearest valid cell within the radius; of equally near ones the first in (i, j) order.
+def _meet_rows(grid: DataFrame, radius: int) -> DataFrame:
+    """Holes (hi, hj) with the nearest valid cells in each row within the radius: rows of (i, l, o, r).
 
-    Holes are few: they go out to the cells around them, and only they.
+    A hole goes out to the 2 * radius + 1 cells above and below it, which know their row; not to all cells around.
     """
-    holes = grid.filter(F.col("z").isNull()).select("i", "j", F.col("i").alias("hi"), F.col("j").alias("hj"))
-    near = spread(holes, _offsets(radius), "hi", "hj").join(grid.filter(F.col("z").isNotNull()), ["i", "j"])
-    best = near.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg(F.min_by("z", F.struct(F.col("di") * F.col("di") + F.col("dj") * F.col("dj"), "i", "j")).alias("f"))
+    rows = _along_rows(grid)
+    holes = rows.filter(F.col("z").isNull()).select(F.col("i").alias("hi"), F.col("j").alias("hj"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("di"))
+    holes = holes.select("hi", "hj", (F.col("hi") + F.col("di")).alias("i"), F.col("hj").alias("j"))
+    return holes.join(rows.select("i", "j", "l", "o", "r").filter("coalesce(l, o, r) is not null"), ["i", "j"])
+
+
+def _candidates(met: DataFrame, radius: int) -> DataFrame:
+    """(hi, hj, si, sj, z, d2) of the cells that _meet_rows found within the radius."""
+    both = F.explode(F.array("l", "o", "r")).alias("s")
+    rows = met.select("hi", "hj", F.col("i").alias("si"), both).filter("s is not null").select("hi", "hj", "si", F.col("s.j").alias("sj"), F.col("s.z").alias("z"))
+    di, dj = F.col("si") - F.col("hi"), F.col("sj") - F.col("hj")
+    return rows.withColumn("d2", (di * di + dj * dj).cast("long")).filter(F.col("d2") <= radius * radius)
+
+
+def fill_nearest(grid: DataFrame, radius: int) -> DataFrame:
+    """Holes take the value of the nearest valid cell within the radius; of equally near ones the first in (i, j) order."""
+    near = _candidates(_meet_rows(grid, radius), radius)
+    best = near.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg(F.min_by("z", F.struct("d2", "si", "sj")).alias("f"))
     return grid.join(best, ["i", "j"], "left").select("i", "j", F.coalesce("z", "f").alias("z"))
 
 
 def fill_idw(grid: DataFrame, radius: int) -> DataFrame:
-    """Holes take the mean of the valid cells within the radius, weighted by the inverse distance."""
-    holes = grid.filter(F.col("z").isNull()).select("i", "j", F.col("i").alias("hi"), F.col("j").alias("hj"))
-    near = spread(holes, _offsets(radius), "hi", "hj").join(grid.filter(F.col("z").isNotNull()), ["i", "j"])
-    w = 1.0 / F.sqrt((F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).cast("double"))
-    best = near.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg((F.sum(F.col("z") * w) / F.sum(w)).alias("f"))
-    return grid.join(best, ["i", "j"], "left").select("i", "j", F.coalesce("z", "f").alias("z"))
+    """Holes take the mean of the nearest valid cell of each quadrant within the radius, weighted by the inverse distance.
+
+    Quadrants turn about the hole: north-west to the north and strictly west of it, north-east strictly north, and so on.
+    Of equally near cells of a quadrant the first in (i, j) order counts.
+    """
+    near = _candidates(_meet_rows(grid, radius), radius)
+    up, down = F.col("si") < F.col("hi"), F.col("si") > F.col("hi")
+    west, east = F.col("sj") < F.col("hj"), F.col("sj") > F.col("hj")
+    near = near.withColumn("q", F.when(west & ~down, 0).when(up & ~west, 1).when(east & ~up, 2).otherwise(3))
+    best = near.groupBy("hi", "hj", "q").agg(F.min(F.struct("d2", "si", "sj", "z")).alias("b"))
+    w = 1.0 / F.sqrt(F.col("b.d2").cast("double"))
+    filled = best.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg((F.sum(F.col("b.z") * w) / F.sum(w)).alias("f"))
+    return grid.join(filled, ["i", "j"], "left").select("i", "j", F.coalesce("z", "f").alias("z"))
 
 
 def block_mean(grid: DataFrame, f: int) -> DataFrame:
@@ -100,7 +129,7 @@ def overlay(*layers: DataFrame) -> DataFrame:
 
 def compare(a: DataFrame, b: DataFrame, zone: Column) -> DataFrame:
     """Counts, relief of a, and statistics of b - a over the cells that both have, in one row."""
-    rows = a.select("i", "j", F.col("z").alias("za")).join(b.select("i", "j", F.col("z").alias("zb")), ["i", "j"], "full").filter(zone)
+    rows = a.filter(zone).select("i", "j", F.col("z").alias("za")).join(b.filter(zone).select("i", "j", F.col("z").alias("zb")), ["i", "j"], "full")
     d, ad = F.col("zb") - F.col("za"), F.abs(F.col("zb") - F.col("za"))
     has_a, has_b = F.col("za").isNotNull(), F.col("zb").isNotNull()
     return rows.agg(
@@ -110,39 +139,46 @@ def compare(a: DataFrame, b: DataFrame, zone: Column) -> DataFrame:
     )
 
 
-def secondary_fill(main: DataFrame, second: DataFrame, coverage: float = 0.999, common: int = 100, limit: float = 50.0) -> DataFrame:
-    """Gaps of the main raster take the second one's values less the median difference.
+def secondary_fill(main: DataFrame, second: DataFrame, zone: Column | None = None, coverage: float = 0.999, common: int = 100, limit: float = 50.0) -> DataFrame:
+    """Gaps of the main raster inside the zone (everywhere if None) take the second one's values plus the median difference.
 
-    Nothing is filled if the main raster covers enough, if too few cells are common, or if the offset is beyond the limit.
+    The difference is measured over the zone's cells that both have; with fewer than ``common`` of them it counts as 0.
+    Nothing is filled if the main raster covers enough of the zone or if the difference is beyond the limit.
     """
-    both = main.select("i", "j", F.col("z").alias("za")).join(second.select("i", "j", F.col("z").alias("zb")), ["i", "j"], "full")
-    d = F.col("za") - F.col("zb")
-    s = both.agg(F.percentile(d, 0.5).alias("offset"), F.count(d).alias("n"), F.avg(F.col("za").isNotNull().cast("int").cast("double")).alias("share"))
-    use = (F.col("share") < coverage) & (F.col("n") >= common) & (F.abs("offset") <= limit)
-    s = s.select(F.when(use, F.col("offset")).alias("offset"))  # one row
-    return both.join(F.broadcast(s)).select("i", "j", F.coalesce("za", F.col("zb") + F.col("offset")).alias("z"))
+    inside = F.lit(True) if zone is None else zone
+    both = main.select("i", "j", F.col("z").alias("za"), inside.alias("in")).join(second.filter(inside).select("i", "j", F.col("z").alias("zb")), ["i", "j"], "left")
+    own, d = F.col("in"), F.col("za") - F.col("zb")
+    known = F.when(own, F.col("za").isNotNull().cast("int").cast("double"))
+    s = both.agg(F.percentile(F.when(own, d), 0.5).alias("offset"), F.count(F.when(own, d)).alias("n"), F.avg(known).alias("share"))
+    offset = F.when(F.col("n") >= common, F.col("offset")).otherwise(0.0)
+    s = s.select(F.when((F.col("share") < coverage) & (F.abs(offset) <= limit), offset).alias("offset"))  # one row
+    return both.join(F.broadcast(s)).select("i", "j", F.coalesce("za", F.when(own, F.col("zb") + F.col("offset"))).alias("z"))
 
 
 def hillshade(grid: DataFrame, pixel: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """Light in [0, 1] from central differences, one-sided at borders; NULL where a needed cell is missing."""
+    cross = {"c": (0, 0), "e": (0, -1), "w": (0, 1), "s": (-1, 0), "n": (1, 0)}  # a cell reaches its neighbours by the opposite way
+    own = lambda k: (F.col("di") == cross[k][0]) & (F.col("dj") == cross[k][1])
+    near = spread(grid, list(cross.values()), "z").groupBy("i", "j").agg(
+        *[F.max(F.when(own(k), F.col("z"))).alias(k) for k in cross], *[F.coalesce(F.bool_or(own(k)), F.lit(False)).alias(f"has_{k}") for k in cross]
+    ).filter("has_c")
 
-    def slope(w, step: float) -> Column:
-        z, before, after = F.col("z"), F.lag("z").over(w), F.lead("z").over(w)
-        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
-        return F.when(first, (after - z) / step).when(last, (z - before) / step).otherwise((after - before) / (2 * step))
+    def slope(before: str, after: str) -> Column:
+        z, a, b = F.col("c"), F.col(before), F.col(after)
+        return F.when(~F.col(f"has_{before}"), (b - z) / pixel).when(~F.col(f"has_{after}"), (z - a) / pixel).otherwise((b - a) / (2 * pixel))
 
-    rows = grid.withColumn("gx", slope(Window.partitionBy("i").orderBy("j"), pixel)).withColumn("gy", -slope(Window.partitionBy("j").orderBy("i"), pixel))
+    rows = near.withColumn("gx", slope("w", "e")).withColumn("gy", -slope("n", "s"))
     az, alt = math.radians(azimuth), math.radians(altitude)
     sx, sy, sz = math.sin(az) * math.cos(alt), math.cos(az) * math.cos(alt), math.sin(alt)
     light = (sz - F.col("gx") * sx - F.col("gy") * sy) / F.sqrt(F.lit(1.0) + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return rows.select("i", "j", F.round(F.least(F.greatest(light, F.lit(0.0)), F.lit(1.0)), 9).alias("light"))
+    lit = F.col("gx").isNotNull() & F.col("gy").isNotNull()
+    return rows.select("i", "j", F.when(lit, F.round(F.least(F.greatest(light, F.lit(0.0)), F.lit(1.0)), 9)).alias("light"))
 
 
 def distance(grid: DataFrame, limit: int) -> DataFrame:
     """(i, j, d2) for missing cells: squared distance to the nearest valid cell, within the limit."""
-    holes = grid.filter(F.col("z").isNull()).select("i", "j", F.col("i").alias("hi"), F.col("j").alias("hj"))
-    near = spread(holes, _offsets(limit), "hi", "hj").join(grid.filter(F.col("z").isNotNull()).select("i", "j"), ["i", "j"])
-    return near.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg(F.min(F.col("di") * F.col("di") + F.col("dj") * F.col("dj")).cast("long").alias("d2"))
+    near = _candidates(_meet_rows(grid, limit), limit)
+    return near.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg(F.min("d2").alias("d2"))
 
 
 def closed_gaps(missing: DataFrame, height: int, width: int, d2: DataFrame, limit: int) -> DataFrame:

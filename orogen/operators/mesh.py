@@ -25,10 +25,10 @@ def _node(a: int, b: int, step: float, z: Column) -> tuple[Column, Column, Colum
     return (F.col("j") + b) * F.lit(float(step)), -(F.col("i") + a) * F.lit(float(step)), z
 
 
-def _triangles(cells: DataFrame, part: str, choices: list[tuple[Column, list[list[tuple[Column, Column, Column]]]]]) -> DataFrame:
-    """A row per triangle; choices: condition and the triangles it gives, first match."""
+def _triangles(cells: DataFrame, part: str, choices: list[tuple[Column, list[list[tuple[Column, Column, Column]]]]], apart: bool = False) -> DataFrame:
+    """A row per triangle; choices: condition and the triangles it gives, first match; apart: no two choices share a k."""
     row = lambda k, t: F.struct(F.lit(k).alias("k"), *[v.cast("double").alias(n) for n, v in zip(COORDS, [x for p in t for x in p], strict=True)])
-    made = F.coalesce(*[F.when(c, F.array(*[row(k, t) for k, t in enumerate(ts)])) for c, ts in choices])
+    made = F.coalesce(*[F.when(c, F.array(*[row(k + n * len(ts) * apart, t) for k, t in enumerate(ts)])) for n, (c, ts) in enumerate(choices)])
     return cells.select(F.lit(part).alias("part"), "i", "j", F.explode(made).alias("t")).select("part", "i", "j", "t.*")
 
 
@@ -49,7 +49,7 @@ def bottom(cells: DataFrame, base: float, step: float = 1.0) -> DataFrame:
 
 
 def walls(cells: DataFrame, heights: DataFrame, base: float, step: float = 1.0) -> DataFrame:
-    """Two triangles per boundary side from the top down to -base, facing out."""
+    """Two triangles per boundary side from the top down to -base, facing out; k tells the sides of a cell apart."""
     sides = boundary_edges(cells).join(heights, ["i", "j"])
     ends = {"n": ((0, 1), (0, 0)), "w": ((0, 0), (1, 0)), "s": ((1, 0), (1, 1)), "e": ((1, 1), (0, 1))}
 
@@ -60,7 +60,7 @@ def walls(cells: DataFrame, heights: DataFrame, base: float, step: float = 1.0)
         return [[tp, bq, bp], [tp, tq, bq]]
 
     # Seen from outside, the top edge of the cell's own triangles runs from q to p; the wall takes it the other way.
-    return _triangles(sides, "wall", [(F.col("side") == s, side(q, p)) for s, (p, q) in ends.items()])
+    return _triangles(sides, "wall", [(F.col("side") == s, side(q, p)) for s, (p, q) in ends.items()], apart=True)
 
 
 def build(cells: DataFrame, grid: DataFrame, base: float, step: float = 1.0, adaptive: bool = False) -> DataFrame:
@@ -145,7 +145,11 @@ def shells(tris: DataFrame) -> DataFrame:
 
 
 def inverted(tris: DataFrame, quality: float = 1e-3, oppose: float = -0.5) -> DataFrame:
-    """Faces whose normal opposes those of all three neighbours, on faces that are manifold, consistent and not slivers."""
+    """Faces whose normal opposes those of all three neighbours.
+
+    All three edges must have two faces that run along them in opposite ways, and neither the face nor its neighbours
+    may be slivers, whose normals mean little.
+    """
     x, y, z = cross()
     area2 = F.sqrt(x * x + y * y + z * z)
     side = lambda a, b: sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"), F.lit(0.0))

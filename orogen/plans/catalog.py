@@ -29,13 +29,36 @@ def q_detect_kind(spark, sf):
     return r.select("path", C.detect_kind(F.col("path"), F.col("head")).alias("kind"))
 
 
-@query("q_elevation_like", "SELECT name, lower(name) IN ('elevation','altitude','height','topo','z','dem') OR standard IN ('surface_altitude','height_above_reference_ellipsoid') OR contains(lower(long), 'elevation') AS likely FROM (VALUES ('z','',''),('Band1','surface_altitude',''),('tas','air_temperature','Near surface'),('v','','Mean Elevation of cell')) t(name, standard, long)")
+VARIABLES = [
+    ("a.nc", "z", "", ""), ("a.nc", "Band1", "air_temperature", "Near surface"), ("b.nc", "/data/Elevation", None, None), ("b.nc", "tas", " Surface_Altitude ", ""), ("c.nc", "v", "", "Mean HEIGHT above sea"),
+    ("d.nc", "crs", "", "Bathymetric chart"), ("d.nc", "q", "", ""), ("e.nc", "pr", "", ""), ("e.nc", "sub/relief2", "height", ""),
+]
+VARS = "vars(file, name, standard, long) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for v in VARIABLES) + ")"
+NAMED = "'elevation','altitude','height','z','dem','dtm','dsm','topo','topography','relief','orography','orog','elev','alt','hgt','terrain','bathymetry','depth','surface_altitude'"
+STANDARD = "'altitude','height','surface_altitude','height_above_mean_sea_level','height_above_reference_ellipsoid','height_above_geopotential_datum','geoid_height_above_reference_ellipsoid','land_surface_altitude','sea_floor_depth_below_geoid','sea_floor_depth_below_sea_level','sea_floor_depth_below_sea_surface','sea_floor_depth_below_reference_ellipsoid','bedrock_altitude','surface_altitude_above_geoid'"
+LIKELY = f"l AS (SELECT *, coalesce(lower(trim(standard)) IN ({STANDARD}), false) OR lower(split_part(name, '/', -1)) IN ({NAMED}) OR regexp_matches(lower(coalesce(long, '')), 'elevation|altitude|topograph|bathymetr|height above') AS likely FROM vars)"
+
+
+def variables(spark):
+    return spark.createDataFrame(VARIABLES, "file string, name string, standard string, long string")
+
+
+@query("q_elevation_like", f"WITH {VARS}, {LIKELY} SELECT file, name, likely FROM l")
 def q_elevation_like(spark, sf):
-    r = rows(spark, "name string, standard string, long string", ("z", "", ""), ("Band1", "surface_altitude", ""), ("tas", "air_temperature", "Near surface"), ("v", "", "Mean Elevation of cell"))
-    return r.select("name", C.elevation_like(F.col("name"), F.col("standard"), F.col("long")).alias("likely"))
+    return variables(spark).select("file", "name", C.elevation_like(F.col("name"), F.col("standard"), F.col("long")).alias("likely"))
+
+
+@query("q_choose_variable", f"WITH {VARS}, {LIKELY}, c AS (SELECT file, count(*) FILTER (likely) AS n, min(name) FILTER (likely) AS name FROM l GROUP BY file) SELECT file, CASE WHEN n = 1 THEN name END AS name, CASE n WHEN 1 THEN 'chosen' WHEN 0 THEN 'none' ELSE 'several' END AS reason FROM c")
+def q_choose_variable(spark, sf):
+    return C.choose_variable(variables(spark))
+
+
+@query("q_named_variable", f"WITH {VARS} SELECT file, max(CASE WHEN trim(name, '/') = 'relief2' OR split_part(name, '/', -1) = 'relief2' THEN name END) AS name, CASE WHEN bool_or(split_part(name, '/', -1) = 'relief2') THEN 'chosen' ELSE 'none' END AS reason FROM vars GROUP BY file")
+def q_named_variable(spark, sf):
+    return C.choose_variable(variables(spark), "relief2")
 
 
-@query("q_missing_tiles", f"WITH {PLACE}, h AS (SELECT DISTINCT floor(lat/10)::INT AS lat, floor(lon/10)::INT AS lon FROM p WHERE id % 3 = 0 AND abs(lat) < 60) SELECT a AS lat, b AS lon FROM (SELECT unnest(range(min(lat), max(lat)+1))::INT AS a FROM h), (SELECT unnest(range(min(lon), max(lon)+1))::INT AS b FROM h) EXCEPT SELECT lat, lon FROM h")
+@query("q_missing_tiles", f"WITH {PLACE}, h AS (SELECT lat, lon FROM (SELECT DISTINCT floor(lat/10)::INT AS lat, floor(lon/10)::INT AS lon FROM p) WHERE (7*lat + 3*lon) % 5 <> 0) SELECT a AS lat, b AS lon FROM (SELECT unnest(range(min(lat), max(lat)+1))::INT AS a FROM h), (SELECT unnest(range(min(lon), max(lon)+1))::INT AS b FROM h) EXCEPT SELECT lat, lon FROM h")
 def q_missing_tiles(spark, sf):
     tiles = places(spark, sf).select(F.floor(F.col("lat") / 10).cast("int").alias("lat"), F.floor(F.col("lon") / 10).cast("int").alias("lon")).distinct()
     return missing_tiles(tiles.filter(F.pmod(7 * F.col("lat") + 3 * F.col("lon"), F.lit(5)) != 0))
@@ -122,21 +145,26 @@ def q_tile_overlap_latest(spark, sf):
     return C.overlapping_latest(t, 40.0, 25.0, 85.0, 60.0, 10.0)
 
 
-# Names, order of preference and boxes (west, south, east, north) of public elevation services.
-REGISTRY = [("swisstopo", 1, 5.9, 45.8, 10.5, 47.9), ("kartverket", 2, 4.0, 57.5, 31.5, 71.5), ("ign", 3, -5.5, 41.0, 10.0, 51.5), ("usgs", 4, -125.0, 24.0, -66.0, 50.0), ("gsi", 5, 122.0, 20.0, 154.0, 46.0)]
-REG = "reg(name, prio, w, s, e, n) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE)" for a, b, c, d, e, f in REGISTRY) + ")"
+# Names, order of preference and boxes (west, south, east, north) of public elevation services; one without
+# an order is never chosen by itself.
+REGISTRY = [
+    ("swisstopo", 1, 5.9, 45.7, 10.6, 47.9), ("kartverket", 2, 4.0, 57.8, 31.5, 71.5),
+    ("usgs", 3, -125.0, 24.3, -66.8, 49.6), ("usgs", 3, -170.0, 51.0, -129.0, 72.0), ("usgs", 3, -161.0, 18.8, -154.7, 22.4), ("usgs", 3, -67.4, 17.8, -65.1, 18.6),
+    ("gsi", 4, 122.9, 24.0, 146.0, 45.6), ("ign", 5, -5.6, 41.0, 10.0, 51.6), ("ign", 5, 55.1, -21.5, 55.9, -20.8), ("austria", None, 9.4, 46.3, 17.3, 49.1),
+]
+REG = "reg(name, prio, w, s, e, n) AS (VALUES " + ", ".join(f"('{a}', {b or 'NULL'}, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE)" for a, b, c, d, e, f in REGISTRY) + ")"
 
 
 def registry(spark):
     return spark.createDataFrame(REGISTRY, "name string, prio int, w double, s double, e double, n double")
 
 
-@query("q_covers", f"WITH {PLACE}, {REG} SELECT id, name FROM p JOIN reg ON lon BETWEEN w AND e AND lat BETWEEN s AND n")
+@query("q_covers", f"WITH {PLACE}, {REG} SELECT DISTINCT id, name FROM p JOIN reg ON lon BETWEEN w AND e AND lat BETWEEN s AND n")
 def q_covers(spark, sf):
     return C.covers(places(spark, sf), registry(spark)).select("id", "name")
 
 
-@query("q_auto_source", f"WITH {PLACE}, {REG}, c AS (SELECT id, arg_min(name, prio) AS name FROM p JOIN reg ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY id) SELECT p.id, coalesce(name, 'copernicus') AS source FROM p LEFT JOIN c USING (id)")
+@query("q_auto_source", f"WITH {PLACE}, {REG}, c AS (SELECT id, arg_min(name, prio) AS name FROM p JOIN reg ON lon BETWEEN w AND e AND lat BETWEEN s AND n WHERE prio IS NOT NULL GROUP BY id) SELECT p.id, coalesce(name, 'copernicus') AS source FROM p LEFT JOIN c USING (id)")
 def q_auto_source(spark, sf):
     return C.auto_source(places(spark, sf), registry(spark))
 
@@ -147,13 +175,15 @@ def q_cache_key(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), C.cache_key(text).alias("key"))
 
 
-UNITS = "(VALUES ('m'),('Metre'),(' feet '),('US survey foot'),('k.m'),('parsec')) t(unit)"
+UNIT_NAMES = ("m", "Metre", " feet ", "US survey foot", "k.m", "parsec", "Kilometres", "centi-meter", "millimetre", "us-ft", "ftUS", "foot_us", "International Foot", "usfoot", "")
+UNITS = "(VALUES " + ",".join(f"('{u}')" for u in UNIT_NAMES) + ") t(unit)"
+FACTORS = """CASE WHEN regexp_full_match(u, 'm|met(re|er)s?') THEN 1.0 WHEN regexp_full_match(u, 'km|kilomet(re|er)s?') THEN 1000.0 WHEN regexp_full_match(u, 'cm|centimet(re|er)s?') THEN 0.01 WHEN regexp_full_match(u, 'mm|millimet(re|er)s?') THEN 0.001
+WHEN regexp_full_match(u, '(international)?(foot|feet)|ft') THEN 0.3048 WHEN regexp_full_match(u, 'usft|ftus|footus|usfoot|ussurvey(foot|feet)') THEN 1200.0::DOUBLE/3937.0 END::DOUBLE"""
 
 
-@query("q_unit_factor", f"SELECT unit, CASE lower(regexp_replace(unit, '[\\s_.-]', '', 'g')) WHEN 'm' THEN 1.0 WHEN 'metre' THEN 1.0 WHEN 'feet' THEN 0.3048 WHEN 'ussurveyfoot' THEN 1200.0::DOUBLE/3937.0 WHEN 'km' THEN 1000.0 END::DOUBLE AS factor FROM {UNITS}")
+@query("q_unit_factor", f"SELECT unit, {FACTORS} AS factor FROM (SELECT unit, lower(regexp_replace(unit, '[\\s_.-]', '', 'g')) AS u FROM {UNITS})")
 def q_unit_factor(spark, sf):
-    r = rows(spark, "unit string", *[(u,) for u in ("m", "Metre", " feet ", "US survey foot", "k.m", "parsec")])
-    return r.select("unit", C.unit_factor(F.col("unit")).alias("factor"))
+    return rows(spark, "unit string", *[(u,) for u in UNIT_NAMES]).select("unit", C.unit_factor(F.col("unit")).alias("factor"))
 
 
 @query("q_unit_precedence", "SELECT asked, declared, crs, coalesce(asked, declared, crs, 1.0) AS factor, asked IS NULL AND declared IS NULL AND crs IS NULL AS assumed FROM (VALUES (2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE), (NULL, 3.0, 4.0), (NULL, NULL, 4.0), (NULL, NULL, NULL)) t(asked, declared, crs)")
@@ -187,11 +217,12 @@ def q_curve_segments(spark, sf):
     return E.AltitudeCurve(CURVE).segments(spark, 2.0)
 
 
-# Monotone cubic: interior slope by the weighted harmonic mean of the neighbours' slopes, end slopes by the three-point rule.
+# Monotone cubic: interior slope by the weighted harmonic mean of the neighbours' slopes, end slopes by the three-point rule;
+# beyond the ends the secant of the end segment.
 @query("q_vexag_curve", """WITH p AS (SELECT id, (id * 97 % 1200) * 10.0::DOUBLE - 1000 AS a FROM (SELECT c_custkey AS id FROM customer)),
 k AS (SELECT 4000.0::DOUBLE AS h0, 4848.0::DOUBLE AS h1, 1.0::DOUBLE AS s0, 2000.0::DOUBLE/4848.0 AS s1), m AS (SELECT *, (3*(h0+h1))/((2*h1+h0)/s0 + (h1+2*h0)/s1) AS m1, ((2*h0+h1)*s0 - h0*s1)/(h0+h1) AS m0, ((2*h1+h0)*s1 - h1*s0)/(h0+h1) AS m2 FROM k),
 q AS (SELECT id, a, m.*, CASE WHEN a < 4000 THEN a/4000 ELSE (a-4000)/4848 END AS t FROM p, m)
-SELECT id, a, round(CASE WHEN a < 0 THEN m0*a WHEN a > 8848 THEN 6000 + m2*(a-8848) WHEN a < 4000 THEN t*(1-t)*(1-t)*4000*m0 + t*t*(3-2*t)*4000 + t*t*(t-1)*4000*m1 ELSE (1+2*t)*(1-t)*(1-t)*4000 + t*(1-t)*(1-t)*4848*m1 + t*t*(3-2*t)*6000 + t*t*(t-1)*4848*m2 END, 6) AS z FROM q""")
+SELECT id, a, round(CASE WHEN a < 0 THEN s0*a WHEN a > 8848 THEN 6000 + s1*(a-8848) WHEN a < 4000 THEN t*(1-t)*(1-t)*4000*m0 + t*t*(3-2*t)*4000 + t*t*(t-1)*4000*m1 ELSE (1+2*t)*(1-t)*(1-t)*4000 + t*(1-t)*(1-t)*4848*m1 + t*t*(3-2*t)*6000 + t*t*(t-1)*4848*m2 END, 6) AS z FROM q""")
 def q_vexag_curve(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 97 % 1200 * F.lit(10.0) - 1000).alias("a"))
     return p.withColumn("z", F.round(E.AltitudeCurve(CURVE).column(F.col("a")), 6))

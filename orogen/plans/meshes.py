@@ -35,8 +35,8 @@ ADAPTIVE = " UNION ALL ".join([
 BOTTOM = " UNION ALL ".join([_tri("bottom", 0, "00b 01b 10b", "h"), _tri("bottom", 1, "10b 01b 11b", "h")])
 WALL = " UNION ALL ".join(
     _tri("wall", k, codes, "h JOIN side USING (i, j)", f"side = '{s}'")
-    for s, p, q in (("n", "00", "01"), ("w", "10", "00"), ("s", "11", "10"), ("e", "01", "11"))
-    for k, codes in ((0, f"{p}t {q}b {p}b"), (1, f"{p}t {q}t {q}b"))
+    for n, (s, p, q) in enumerate((("n", "00", "01"), ("w", "10", "00"), ("s", "11", "10"), ("e", "01", "11")))
+    for k, codes in ((2 * n, f"{p}t {q}b {p}b"), (2 * n + 1, f"{p}t {q}t {q}b"))
 )
 MESH = f"{K}{H}, {SIDES}, tri AS MATERIALIZED ({TOP} UNION ALL {BOTTOM} UNION ALL {WALL})"
 
@@ -156,9 +156,17 @@ def solids(spark):
     return spark.createDataFrame([(p, n, 0, 0, *map(float, t)) for n, (p, *t) in enumerate(rows)], "part string, i int, j int, k int, " + ", ".join(f"{c} double" for c in T.COORDS))
 
 
-@query("q_shells", "SELECT * FROM (VALUES ('a/0/0/0', 8::BIGINT, 18::BIGINT, 12::BIGINT), ('b/12/0/0', 8, 18, 12), ('c/24/0/0', 8, 18, 11)) t(shell, n_vertices, n_edges, n_faces)")
+# Every face of a mesh joins the shell of the cell that it stands on, and two cells share a shell if they share a side:
+# no pinch is left, so that cells that touch in a corner only do so through others.
+CELLS = """run AS MATERIALIZED (SELECT i, g, min(j) AS a, max(j) AS b, min(i*64+j) AS id FROM (SELECT i, j, j - row_number() OVER (PARTITION BY i ORDER BY j) AS g FROM kept) GROUP BY i, g),
+half AS MATERIALIZED (SELECT r.id AS a, s.id AS b FROM run r JOIN run s ON s.i = r.i + 1 AND s.a <= r.b AND r.a <= s.b), links AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(id, l) USING KEY (id) AS (SELECT id, id FROM run UNION SELECT e.b, min(reach.l) FROM reach JOIN links e ON e.a = reach.id JOIN recurring.reach AS old ON old.id = e.b WHERE reach.l < old.l GROUP BY e.b),
+shell AS MATERIALIZED (SELECT f.*, l FROM tri f JOIN run r ON r.i = f.i AND f.j BETWEEN r.a AND r.b JOIN reach ON reach.id = r.id)"""
+
+
+@query("q_shells", f"WITH RECURSIVE {MESH.removeprefix('WITH ')}, {CELLS}, e0 AS (SELECT l, row(ax, ay, az) AS p, row(bx, \"by\", bz) AS q FROM shell UNION ALL SELECT l, row(bx, \"by\", bz), row(cx, cy, cz) FROM shell UNION ALL SELECT l, row(cx, cy, cz), row(ax, ay, az) FROM shell), v AS (SELECT l, count(DISTINCT p) AS n_vertices, count(DISTINCT (least(p, q), greatest(p, q))) AS n_edges FROM e0 GROUP BY l), f AS (SELECT l, min((part, i, j, k)) AS s, count(*) AS n_faces FROM shell GROUP BY l) SELECT concat_ws('/', s[1], s[2], s[3], s[4]) AS shell, n_vertices, n_edges, n_faces, n_vertices - n_edges + n_faces AS euler FROM v JOIN f USING (l)")
 def q_shells(spark, sf):
-    return T.shells(materialise(mesh(spark, sf), "mesh")).drop("euler")
+    return T.shells(materialise(mesh(spark, sf), "mesh"))
 
 
 @query("q_euler", f"{MESH}, {VERT}, {EDGES}, u AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM e0) SELECT (SELECT count(*) FROM v) - (SELECT count(*) FROM u) + (SELECT count(*) FROM tri) AS euler")
@@ -166,8 +174,29 @@ def q_euler(spark, sf):
     return T.edge_report(t := materialise(mesh(spark, sf), "mesh")).join(F.broadcast(t.agg(F.count("*").alias("f")))).select((F.col("n_vertices") - F.col("n_edges") + F.col("f")).alias("euler"))
 
 
-@query("q_inverted")
+def _folded(spark, sf):
+    """The top, flat, with some nodes moved over the longest side of one of their triangles: a projection gone wrong."""
+    t = T.top(_heights(spark, sf))
+    hit = lambda v: F.pmod(-F.col(f"{v}y") * 7 + F.col(f"{v}x") * 3, F.lit(11)) == 0
+    moved = lambda c: F.col(c) + F.when(hit(c[0]), 0.625 if c[1] == "x" else -0.625).otherwise(0.0)
+    return t.select("part", "i", "j", "k", *[(F.lit(0.0) if c[1] == "z" else moved(c)).alias(c) for c in T.COORDS])
+
+
+MOVED = ", ".join(f"{v}x + CASE WHEN (-\"{v}y\"*7 + {v}x*3) % 11 = 0 THEN 0.625 ELSE 0 END AS {v}x, \"{v}y\" - CASE WHEN (-\"{v}y\"*7 + {v}x*3) % 11 = 0 THEN 0.625 ELSE 0 END AS \"{v}y\"" for v in "abc")
+INVERTED = f"""{K}{H}, f AS MATERIALIZED (SELECT 'top' AS part, i, j, k, {MOVED} FROM ({TOP})),
+n AS MATERIALIZED (SELECT *, (bx-ax)*(cy-ay) - ("by"-ay)*(cx-ax) AS z, greatest((bx-ax)*(bx-ax) + ("by"-ay)*("by"-ay), (cx-bx)*(cx-bx) + (cy-"by")*(cy-"by"), (ax-cx)*(ax-cx) + (ay-cy)*(ay-cy)) AS long FROM f WHERE NOT ((ax = bx AND ay = "by") OR (bx = cx AND "by" = cy) OR (cx = ax AND cy = ay))),
+e AS MATERIALIZED (SELECT i, j, k, z, abs(z) >= 1e-3*long AS good, u[1] AS p, u[2] AS q FROM (SELECT *, unnest([[ax::VARCHAR || ' ' || ay, bx::VARCHAR || ' ' || "by"], [bx::VARCHAR || ' ' || "by", cx::VARCHAR || ' ' || cy], [cx::VARCHAR || ' ' || cy, ax::VARCHAR || ' ' || ay]]) AS u FROM n)),
+m AS MATERIALIZED (SELECT least(p, q) AS lo, greatest(p, q) AS hi FROM e GROUP BY ALL HAVING count(*) = 2 AND min(p) <> max(p)),
+x AS (SELECT a.i, a.j, a.k, count(*) AS n_ok, count(*) FILTER (sign(a.z) * sign(b.z) < -0.5) AS n_opp FROM e a JOIN m ON m.lo = least(a.p, a.q) AND m.hi = greatest(a.p, a.q) JOIN e b ON b.p = a.q AND b.q = a.p WHERE a.good AND b.good GROUP BY ALL) SELECT 'top' AS part, i, j, k FROM x WHERE n_ok = 3 AND n_opp = 3"""
+
+
+@query("q_inverted", INVERTED)
 def q_inverted(spark, sf):
+    return T.inverted(materialise(_folded(spark, sf), "mesh"))
+
+
+@query("q_inverted_mesh")
+def q_inverted_mesh(spark, sf):
     return T.inverted(materialise(mesh(spark, sf), "mesh"))
 
 
@@ -181,7 +210,63 @@ def q_check_mesh(spark, sf):
     )
 
 
-@query("q_report_json")
+def _flatness(tris):
+    """Area seen from above, edges of one face, and directed edges that repeat, in one row."""
+    t = materialise(tris, "flat")
+    twice = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    return T.edge_report(t).select("n_open", "n_repeated").join(F.broadcast(t.agg(F.round(F.sum(F.abs(twice)) / 2, 6).alias("area"))))
+
+
+COVERED = f"WITH {KEPT}, {SIDES} SELECT (SELECT count(*) FROM side) AS n_open, 0::BIGINT AS n_repeated, (SELECT count(*) FROM kept)::DOUBLE AS area"
+
+
+@query("q_merged_bottom", COVERED)
+def q_merged_bottom(spark, sf):
+    from orogen.operators import covers
+
+    return _flatness(covers.merged_bottom(kept(spark, sf), BASE))
+
+
+@query("q_merged_bottom_rows", COVERED)
+def q_merged_bottom_rows(spark, sf):
+    from orogen.operators import covers
+
+    return _flatness(covers.merged_bottom(kept(spark, sf), BASE, cover="rows"))
+
+
+@query("q_row_cover")
+def q_row_cover(spark, sf):
+    from orogen.operators import covers
+
+    return covers.row_cover(kept(spark, sf))
+
+
+@query("q_adaptive_top", COVERED)
+def q_adaptive_top(spark, sf):
+    from orogen.operators import rtin
+
+    return _flatness(rtin.adaptive_top(_heights(spark, sf), 100.0, block=64))
+
+
+# An ellipse over all rows: one simple contour whatever the table's size.
+ELLIPSE = f"{X.GRID}, hh AS (SELECT max(i) + 1 AS h FROM grid), kept AS MATERIALIZED (SELECT i, j FROM grid, hh WHERE j < 63 AND i < h - 1 AND power((i + 0.5 - h/2.0)/(h/2.0 - 2), 2) + power((j + 0.5 - 32)/30.0, 2) <= 1)"
+
+
+@query("q_smooth_rim", f"WITH {ELLIPSE}, {SIDES}, n AS (SELECT 2*count(*) AS n FROM side) SELECT part, n, CASE WHEN part = 'rim' THEN h::DOUBLE END AS nearest, h::DOUBLE AS furthest FROM n, hh, (VALUES ('band'), ('rim'), ('under')) v(part)")
+def q_smooth_rim(spark, sf):
+    from orogen.operators import rims
+
+    g = X.grid(spark, sf)
+    h = g.agg(F.max("i") + 1).first()[0]
+    u, v = (F.col("i") + 0.5 - h / 2) / (h / 2 - 2), (F.col("j") + 0.5 - 32) / 30.0
+    cells = g.filter((F.col("j") < 63) & (F.col("i") < h - 1) & (u * u + v * v <= 1)).select("i", "j")
+    rim = rims.smooth_rim(cells, g, float(h), BASE, ci=h / 2, cj=32)
+    far = [F.hypot(f"{c}x", f"{c}y") for c in "abc"]
+    return rim.groupBy("part").agg(F.count("*").alias("n"), F.when(F.col("part") == "rim", F.round(F.min(F.least(*far)), 6)).alias("nearest"), F.round(F.max(F.greatest(*far)), 6).alias("furthest"))
+
+
+@query("q_report_json", f"{MESH}, n AS (SELECT count(*) FILTER (part = 'top') AS top, count(*) FILTER (part = 'bottom') AS bottom, count(*) FILTER (part = 'wall') AS wall, min(least(az, bz, cz)) FILTER (part = 'top') AS lo, max(greatest(az, bz, cz)) FILTER (part = 'top') AS hi FROM tri) SELECT to_json({{'schema': 1, 'model': {{'base_mm': {BASE}::DOUBLE, 'step_mm': 1.0::DOUBLE, 'broken': NULL}}, 'relief': {{'min_elevation_m': lo, 'max_elevation_m': hi, 'relief_m': hi - lo}}, 'mesh': {{'top': top, 'bottom': bottom, 'wall': wall, 'triangles': top + bottom + wall}}}})::VARCHAR AS report FROM n")
 def q_report_json(spark, sf):
-    t = mesh(spark, sf)
-    return t.agg(F.count("*").alias("triangles"), F.max("az").alias("top")).select(F.to_json(F.struct(F.lit(1).alias("version"), "triangles", F.when(~F.isnan("top"), F.col("top")).alias("top"))).alias("report"))
+    from orogen.sources import report
+
+    return report.mesh_report(mesh(spark, sf), {"base_mm": BASE, "step_mm": 1.0, "broken": float("nan")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orogen.operators import grid as G
 from orogen.operators import morphology as M
 from orogen.operators import points as P
+from orogen.operators import resample as RS
 from orogen.plans import fixtures as X
 from orogen.plans.registry import query
 
@@ -67,7 +68,7 @@ def q_scan_stats(spark, sf):
     return P.scan_stats(X.points(spark, sf), SOUTH_EAST, "all")
 
 
-@query("q_density", W + f", c AS (SELECT iy, ix, count(*) AS n FROM (SELECT DISTINCT x, y, z, {PIX} FROM points WHERE {OK} AND cls = 2) GROUP BY iy, ix) SELECT count(*) AS occupied, count(*)/4096.0::DOUBLE AS share, sum(n)::DOUBLE/4096.0::DOUBLE AS density, count(*)*2 < 4096 AS sparse FROM c")
+@query("q_density", W + f", c AS (SELECT iy, ix, count(*) AS n FROM (SELECT DISTINCT x, y, z, {PIX} FROM points WHERE {INSIDE} AND {OK} AND cls = 2) GROUP BY iy, ix) SELECT count(*) AS occupied, count(*)/4096.0::DOUBLE AS share, sum(n)::DOUBLE/4096.0::DOUBLE AS density, count(*)*2 < 4096 AS sparse FROM c")
 def q_density(spark, sf):
     return P.density(P.grid_points(X.points(spark, sf), ALL, "ground"), ALL)
 
@@ -78,11 +79,13 @@ def q_file_pruning(spark, sf):
 
 
 R = f"WITH {X.RASTER} "
-DISC = "(i-30.5)*(i-30.5) + (j-31.5)*(j-31.5) <= 400.0"
-def zone():
-    return G.disc(30.5, 31.5, 20)
+DISC = "(i%64-30.5)*(i%64-30.5) + (j-31.5)*(j-31.5) <= 400.0"
 
 
+def zone(radius: float = 20.0):
+    """A disc in every 64 rows, so that the zone grows with the grid."""
+    return G.disc(30.5, 31.5, radius, rows=64)
+
 
 @query("q_disc_mask", R + f"SELECT i, j FROM raster WHERE {DISC}")
 def q_disc_mask(spark, sf):
@@ -117,31 +120,98 @@ def q_zone_counts(spark, sf):
     return G.zone_counts(X.raster(spark, sf), zone(), 480.5)
 
 
-NEAR = f"near AS (SELECT a.i, a.j, count(*) AS n, min(b.z) AS lo, max(b.z) AS hi FROM raster a, {X.NINE} o, raster b WHERE (di <> 0 OR dj <> 0) AND b.i = a.i+di AND b.j = a.j+dj AND b.z IS NOT NULL GROUP BY a.i, a.j)"
+SPIKED = R + ", spiked AS (SELECT i, j, CASE (i*7+j*3) % 97 WHEN 0 THEN z + 900 WHEN 50 THEN z - 900 ELSE z END AS z FROM raster)"
+NEAR = f"near AS (SELECT a.i, a.j, count(*) AS n, min(b.z) AS lo, max(b.z) AS hi FROM spiked a, {X.NINE} o, spiked b WHERE (di <> 0 OR dj <> 0) AND b.i = a.i+di AND b.j = a.j+dj AND b.z IS NOT NULL GROUP BY a.i, a.j)"
 
 
-@query("q_despike", R + f", {NEAR} SELECT r.i, r.j, CASE WHEN n >= 5 AND (z > hi + (hi-lo) + -300.0 OR z < lo - (hi-lo) - -300.0) THEN NULL ELSE z END AS z FROM raster r LEFT JOIN near USING (i, j)")
+@query("q_despike", f"{SPIKED}, {NEAR} SELECT r.i, r.j, CASE WHEN n >= 5 AND (z > hi + (hi-lo) + 5.0 OR z < lo - (hi-lo) - 5.0) THEN NULL ELSE z END AS z FROM spiked r LEFT JOIN near USING (i, j)")
 def q_despike(spark, sf):
-    return G.despike(X.raster(spark, sf), tolerance=-300.0)
+    k = (F.col("i") * 7 + F.col("j") * 3) % 97
+    return G.despike(X.raster(spark, sf).withColumn("z", F.when(k == 0, F.col("z") + 900).when(k == 50, F.col("z") - 900).otherwise(F.col("z"))), tolerance=5.0)
+
+
+@query("q_despike_off", R + "SELECT i, j, z FROM raster")
+def q_despike_off(spark, sf):
+    return G.despike(X.raster(spark, sf), tolerance=0.0)
 
 
 def _near(radius: int) -> str:
     return f"h AS (SELECT i, j FROM raster WHERE z IS NULL), o AS (SELECT a AS di, b AS dj, a*a+b*b AS d2 FROM range({-radius},{radius + 1}) x(a), range({-radius},{radius + 1}) y(b) WHERE a*a+b*b BETWEEN 1 AND {radius * radius}), n AS (SELECT h.i, h.j, r.i AS si, r.j AS sj, r.z, d2 FROM h, o, raster r WHERE r.i = h.i+di AND r.j = h.j+dj AND r.z IS NOT NULL)"
 
 
-@query("q_fill_nearest", R + f", {_near(3)}, f AS (SELECT i, j, z FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY d2, si, sj) AS k FROM n) WHERE k = 1) SELECT r.i, r.j, coalesce(r.z, f.z) AS z FROM raster r LEFT JOIN f USING (i, j)")
+# A hole of many cells in every 64 rows, so that long ways are needed.
+HOLED = f"WITH {X.RASTER.replace('raster AS (', 'raster0 AS (')}, raster AS MATERIALIZED (SELECT i, j, CASE WHEN i%64 BETWEEN 10 AND 45 AND j BETWEEN 12 AND 50 THEN NULL ELSE z END AS z FROM raster0)"
+RADIUS = 12
+
+
+def _holed(spark, sf):
+    hole = (F.col("i") % 64).between(10, 45) & F.col("j").between(12, 50)
+    return X.raster(spark, sf).withColumn("z", F.when(~hole, F.col("z")))
+
+
+@query("q_fill_nearest", f"{HOLED}, {_near(RADIUS)}, f AS (SELECT i, j, z FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY d2, si, sj) AS k FROM n) WHERE k = 1) SELECT r.i, r.j, coalesce(r.z, f.z) AS z FROM raster r LEFT JOIN f USING (i, j)")
 def q_fill_nearest(spark, sf):
-    return G.fill_nearest(X.raster(spark, sf), 3)
+    return G.fill_nearest(_holed(spark, sf), RADIUS)
 
 
-@query("q_fill_idw", R + f", {_near(3)}, f AS (SELECT i, j, sum(z/sqrt(d2::DOUBLE))/sum(1.0/sqrt(d2::DOUBLE)) AS z FROM n GROUP BY i, j) SELECT r.i, r.j, round(coalesce(r.z, f.z), 6) AS z FROM raster r LEFT JOIN f USING (i, j)")
+@query("q_fill_idw", f"{HOLED}, {_near(RADIUS)}, q AS (SELECT *, CASE WHEN sj < j AND si <= i THEN 'nw' WHEN si < i AND sj >= j THEN 'ne' WHEN sj > j AND si >= i THEN 'se' ELSE 'sw' END AS q FROM n), b AS (SELECT i, j, q, arg_min(z, (d2, si, sj)) AS z, min(d2) AS d2 FROM q GROUP BY ALL), f AS (SELECT i, j, sum(z/sqrt(d2::DOUBLE))/sum(1.0/sqrt(d2::DOUBLE)) AS z FROM b GROUP BY i, j) SELECT r.i, r.j, round(coalesce(r.z, f.z), 6) AS z FROM raster r LEFT JOIN f USING (i, j)")
 def q_fill_idw(spark, sf):
-    return G.fill_idw(X.raster(spark, sf), 3).withColumn("z", F.round("z", 6))
+    return G.fill_idw(_holed(spark, sf), RADIUS).withColumn("z", F.round("z", 6))
 
 
-@query("q_distance", R + f", {_near(4)} SELECT i, j, min(d2)::BIGINT AS d2 FROM n GROUP BY i, j")
+@query("q_distance", f"{HOLED}, {_near(RADIUS)} SELECT i, j, min(d2)::BIGINT AS d2 FROM n GROUP BY i, j")
 def q_distance(spark, sf):
-    return G.distance(X.raster(spark, sf), 4)
+    return G.distance(_holed(spark, sf), RADIUS)
+
+
+@query("q_fill_far")
+def q_fill_far(spark, sf):
+    """At a search radius of 50 cells."""
+    return G.fill_idw(_holed(spark, sf), 50)
+
+
+# Target cells from their own side: the source cells that they cover, or whose centres lie around theirs.
+AXIS = "SELECT t, s, w FROM (SELECT t, s, {w} AS w FROM (SELECT t, unnest(range({low}, {high} + 1)) AS s FROM range({n}) r(t)))"
+
+
+def _taps(ratio: float, method: str, n: str) -> str:
+    c = f"((t + 0.5)*{ratio} - 0.5)"
+    if method == "average":
+        return AXIS.format(n=n, low=f"floor(t*{ratio})::BIGINT", high=f"ceil((t+1)*{ratio})::BIGINT - 1", w=f"least((t+1)*{ratio}, s+1) - greatest(t*{ratio}, s)")
+    if method == "bilinear":
+        return AXIS.format(n=n, low=f"floor({c})::BIGINT", high=f"floor({c})::BIGINT + 1", w=f"1 - abs({c} - s)")
+    d = f"abs({c} - s)"
+    return AXIS.format(n=n, low=f"floor({c})::BIGINT - 1", high=f"floor({c})::BIGINT + 2", w=f"CASE WHEN {d} < 1 THEN 1.5*{d}*{d}*{d} - 2.5*{d}*{d} + 1 ELSE -0.5*{d}*{d}*{d} + 2.5*{d}*{d} - 4*{d} + 2 END")
+
+
+def _resampled(ratio: float, method: str) -> str:
+    size = f"(SELECT (count(*)/64/{ratio})::BIGINT FROM raster)", f"(64/{ratio})::BIGINT"
+    out = f"{R}, " + ", ".join(f"{m}_{k} AS MATERIALIZED ({_taps(ratio, m, 'CAST(' + n + ' AS BIGINT)')})" for m in {method, "bilinear" if method == "cubic" else method} for k, n in zip("ij", size, strict=True))
+    for m in dict.fromkeys(("bilinear" if method == "cubic" else method, method)):
+        out += f", {m}_z AS (SELECT a.t AS i, b.t AS j, sum(a.w*b.w*z)/sum(CASE WHEN z IS NOT NULL THEN a.w*b.w END) AS z, count(z) AS n, count(*) FILTER (z IS NULL AND a.w*b.w <> 0) AS missing, sum(a.w*b.w) AS whole FROM {m}_i a JOIN raster r ON r.i = a.s JOIN {m}_j b ON r.j = b.s GROUP BY a.t, b.t HAVING sum(CASE WHEN z IS NOT NULL THEN a.w*b.w END) > 1e-9)"
+    if method != "cubic":
+        return f"{out} SELECT i, j, round(z + 3e-9, 6) AS z FROM {method}_z"
+    return f"{out} SELECT l.i, l.j, round(CASE WHEN c.missing = 0 AND abs(c.whole - 1) < 1e-9 THEN c.z ELSE l.z END + 3e-9, 6) AS z FROM bilinear_z l LEFT JOIN cubic_z c USING (i, j)"
+
+
+def _resample(spark, sf, ratio, method):
+    height = X.grid(spark, sf).agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
+    return RS.resample(X.raster(spark, sf), ratio, method, round(height / ratio), round(X.WIDTH / ratio)).withColumn("z", F.round(F.col("z") + 3e-9, 6))  # no value then lies halfway
+
+
+@query("q_resample_average_any", _resampled(2.5, "average"))
+def q_resample_average_any(spark, sf):
+    return _resample(spark, sf, 2.5, "average")
+
+
+@query("q_resample_bilinear_any", _resampled(0.4, "bilinear"))
+def q_resample_bilinear_any(spark, sf):
+    return _resample(spark, sf, 0.4, "bilinear")
+
+
+@query("q_resample_cubic", _resampled(0.4, "cubic"))
+def q_resample_cubic(spark, sf):
+    return _resample(spark, sf, 0.4, "cubic")
 
 
 @query("q_resample_average", R + "SELECT (i//2)::BIGINT AS i, (j//2)::BIGINT AS j, avg(z) AS z, count(z) AS n_valid FROM raster GROUP BY ALL")
@@ -185,16 +255,22 @@ def q_mosaic_shared_edge(spark, sf):
     return mosaic_tiles(r.unionByName(shared))
 
 
-@query("q_compare_grids", RR + """, c AS (SELECT a.z AS za, b.z AS zb, b.z - a.z AS d, abs(b.z - a.z) AS ad FROM raster a JOIN raster2 b USING (i, j) WHERE (i-30.5)*(i-30.5) + (j-31.5)*(j-31.5) <= 900.0)
+@query("q_compare_grids", RR + """, c AS (SELECT a.z AS za, b.z AS zb, b.z - a.z AS d, abs(b.z - a.z) AS ad FROM raster a JOIN raster2 b USING (i, j) WHERE (i%64-30.5)*(i%64-30.5) + (j-31.5)*(j-31.5) <= 900.0)
 SELECT count(*) AS n_zone, count(za) AS n_a, count(zb) AS n_b, count(d) AS n_both, count(*) FILTER (za IS NOT NULL AND zb IS NULL) AS only_a, count(*) FILTER (za IS NULL AND zb IS NOT NULL) AS only_b, max(za)-min(za) AS relief_a, avg(d) AS mean,
 round(stddev_pop(d), 9) AS sd, round(sqrt(avg(d*d)), 9) AS rms, avg(ad) AS mean_abs, quantile_cont(ad, 0.95) AS p95, max(ad) AS max_abs, avg((ad > 1)::INT::DOUBLE) AS over_1m, avg((ad > 5)::INT::DOUBLE) AS over_5m FROM c""")
 def q_compare_grids(spark, sf):
-    return G.compare(X.raster(spark, sf), X.raster2(spark, sf), G.disc(30.5, 31.5, 30))
+    return G.compare(X.raster(spark, sf), X.raster2(spark, sf), zone(30.0))
 
 
-@query("q_secondary_fill", RR + ", c AS (SELECT i, j, a.z AS za, b.z AS zb FROM raster a JOIN raster2 b USING (i, j)), m AS (SELECT median(za - zb) AS o FROM c) SELECT i, j, coalesce(za, zb + o) AS z FROM c, m")
+@query("q_secondary_fill", RR + f", c AS (SELECT i, j, a.z AS za, b.z AS zb, {DISC} AS inside FROM raster a JOIN raster2 b USING (i, j)), m AS (SELECT median(za - zb) AS o FROM c WHERE inside) SELECT i, j, CASE WHEN inside THEN coalesce(za, zb + o) ELSE za END AS z FROM c, m")
 def q_secondary_fill(spark, sf):
-    return G.secondary_fill(X.raster(spark, sf), X.raster2(spark, sf))
+    return G.secondary_fill(X.raster(spark, sf), X.raster2(spark, sf), zone())
+
+
+@query("q_secondary_fill_few_common", RR + ", c AS (SELECT i, j, CASE WHEN j < 2 AND i % 20 = 0 THEN a.z END AS za, b.z AS zb FROM raster a JOIN raster2 b USING (i, j)), m AS (SELECT CASE WHEN count(za - zb) >= 100 THEN median(za - zb) ELSE 0 END AS o FROM c) SELECT i, j, coalesce(za, zb + o) AS z FROM c, m")
+def q_secondary_fill_few_common(spark, sf):
+    few = F.when((F.col("j") < 2) & (F.col("i") % 20 == 0), F.col("z")).alias("z")
+    return G.secondary_fill(X.raster(spark, sf).select("i", "j", few), X.raster2(spark, sf))
 
 
 @query("q_hillshade", R + """, s AS (SELECT i, j, z, lag(z) OVER wj AS w, lead(z) OVER wj AS e, lag(z) OVER wi AS n, lead(z) OVER wi AS s, (SELECT max(i) FROM raster) AS mi FROM raster WINDOW wj AS (PARTITION BY i ORDER BY j), wi AS (PARTITION BY j ORDER BY i)),
@@ -267,7 +343,7 @@ def q_erode(spark, sf):
     return M.erode(X.mask(spark, sf))
 
 
-@query("q_dilate", f"{MK} SELECT DISTINCT m.i+di AS i, (m.j+dj)::INT AS j FROM mask m, {X.NINE} WHERE m.i % 5 = 0 AND m.i+di >= 0 AND m.j+dj BETWEEN 0 AND 63 AND m.i+di < 400")
+@query("q_dilate", f"{MK} SELECT DISTINCT m.i+di AS i, (m.j+dj)::INT AS j FROM mask m, {X.NINE} WHERE m.i+di BETWEEN 0 AND (SELECT max(i) FROM grid) AND m.j+dj BETWEEN 0 AND 63")
 def q_dilate(spark, sf):
     height = X.grid(spark, sf).agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
     return M.dilate(X.mask(spark, sf), height, X.WIDTH)
@@ -309,10 +385,11 @@ def q_required_nodes(spark, sf):
 
 
 def _label(cells: str) -> str:
-    """Recursive part: the smallest id that each cell of a table can reach."""
-    steps = " UNION ALL ".join(f"SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON b.i = a.i + ({x}) AND b.j = a.j + ({y})" for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y)
-    return f"""ids AS MATERIALIZED (SELECT i, j, i*64+j AS id FROM {cells}), edges AS MATERIALIZED ({steps}),
-cc(id, l) USING KEY (id) AS (SELECT id, id FROM ids UNION SELECT e.b, min(cc.l) FROM cc JOIN edges e ON e.a = cc.id JOIN recurring.cc AS old ON old.id = e.b WHERE cc.l < old.l GROUP BY e.b)"""
+    """Recursive part: the smallest id that each cell of a table can reach, from run to touching run of neighbouring rows."""
+    return f"""cut AS MATERIALIZED (SELECT i, j, j - row_number() OVER (PARTITION BY i ORDER BY j) AS g FROM {cells}), run AS MATERIALIZED (SELECT i, g, min(j) AS a, max(j) AS b, i*64+min(j) AS id FROM cut GROUP BY i, g),
+half AS MATERIALIZED (SELECT r.id AS a, s.id AS b FROM run r JOIN run s ON s.i = r.i + 1 AND s.a <= r.b + 1 AND r.a <= s.b + 1), edges AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(id, l) USING KEY (id) AS (SELECT id, id FROM run UNION SELECT e.b, min(reach.l) FROM reach JOIN edges e ON e.a = reach.id JOIN recurring.reach AS old ON old.id = e.b WHERE reach.l < old.l GROUP BY e.b),
+ids AS MATERIALIZED (SELECT i, j, i*64+j AS id FROM cut), cc AS MATERIALIZED (SELECT c.i*64+c.j AS id, l FROM cut c JOIN run r ON r.i = c.i AND r.g = c.g JOIN reach ON reach.id = r.id)"""
 
 
 RC = "WITH RECURSIVE "
@@ -373,6 +450,38 @@ def q_quadtree(spark, sf):
     return M.quadtree(kept(spark, sf))
 
 
-@query("q_quadtree_balanced")
+def _balance(rounds: int = 6, levels: int = 6) -> str:
+    """Leaves of which a side neighbour is two or more levels smaller are split, in rounds; levels bound their number."""
+    out, was = "", "leaf"
+    for n in range(rounds):
+        near = f"SELECT DISTINCT t::INT AS level, (i+a) >> (t-level)::INT AS i, (j+b) >> (t-level)::INT AS j FROM {was}, (VALUES (-1,0),(1,0),(0,-1),(0,1)) v(a, b), range(2, {levels + 1}) r(t) WHERE t >= level + 2"
+        out += f", hit{n} AS MATERIALIZED ({near}), big{n} AS MATERIALIZED (SELECT l.* FROM {was} l SEMI JOIN hit{n} h USING (level, i, j)), leaf{n} AS MATERIALIZED (SELECT l.* FROM {was} l ANTI JOIN big{n} b USING (level, i, j) UNION ALL SELECT level-1, 2*i+a, 2*j+b FROM big{n}, range(2) x(a), range(2) y(b))"
+        was = f"leaf{n}"
+    return out + f", even AS (SELECT level, i, j FROM {was})"
+
+
+@query("q_quadtree_balanced", f"WITH {KEPT}{_tree()}{_balance()} SELECT level, i, j FROM even")
 def q_quadtree_balanced(spark, sf):
     return M.balanced(M.quadtree(kept(spark, sf)))
+
+
+def _loops(rounds: int = 16) -> str:
+    """Boundary edges with the cell on the right, and every node's smallest node around its loop, by doubling."""
+    out = "edge AS MATERIALIZED (SELECT i+a AS ai, j+b AS aj, i+c AS bi, j+d AS bj, (i+a)*4294967296 + j+b AS node, (i+c)*4294967296 + j+d AS nxt FROM side JOIN (VALUES ('n',0,0,0,1),('e',0,1,1,1),('s',1,1,1,0),('w',1,0,0,0)) v(s, a, b, c, d) ON s = side), w0 AS MATERIALIZED (SELECT node, nxt, node AS best FROM edge)"
+    for n in range(rounds):
+        out += f", w{n + 1} AS MATERIALIZED (SELECT x.node, y.nxt, least(x.best, y.best) AS best FROM w{n} x JOIN w{n} y ON y.node = x.nxt)"
+    return out + f", around AS (SELECT node, best FROM w{rounds})"
+
+
+# Twice the area by the shoelace formula, which needs the edges of a loop but not their order.
+@query("q_boundary_loops", f"WITH {KEPT}, {SIDES}, {_loops()} SELECT best::BIGINT AS loop, count(*) AS n, sum(aj*(-bi) - bj*(-ai))::BIGINT AS twice_area FROM edge JOIN around USING (node) GROUP BY best")
+def q_boundary_loops(spark, sf):
+    from pyspark.sql import Window
+
+    from orogen.operators import rims
+
+    order = Window.partitionBy("loop").orderBy("pos")
+    last = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(last))
+    loops = rims.boundary_loops(kept(spark, sf)).withColumn("ni", after("i")).withColumn("nj", after("j"))
+    return loops.groupBy("loop").agg(F.count("*").alias("n"), F.sum(F.col("j") * -F.col("ni") - F.col("nj") * -F.col("i")).alias("twice_area"))
