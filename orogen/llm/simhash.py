@@ -8,9 +8,10 @@ of a value's owners keeps every component without forming all pairs.
 For 64 bits and half radius 2 a ball has 2081 values.  They are dealt out by their first ``prefix`` bits: a row per
 fingerprint and per prefix that its ball reaches (79 for 12 bits) goes through the shuffle, and the task that owns
 a prefix makes the values below it.  All values are made, but the shuffle carries a prefix and not every value.
-``prefix`` follows the number of distinct fingerprints, so that a prefix stays small; a prefix that holds more
-than HOT rows all the same is divided into residue classes of its values, each a task's own.  A task hands on
-a spanning forest of its links: one row per fingerprint at most.
+``prefix`` follows the number of distinct fingerprints, so that a prefix stays small; a prefix that more than HOT rows
+reach all the same, counted beforehand, is replaced by longer ones, which only the fingerprints near them reach.  A
+task makes at most a few CHUNK_VALUES values at a time and hands on a spanning forest of its links: one row per fingerprint
+at most.
 
 Fingerprints: A-Z lower-cased, words are runs of anything but white space, shingles of ``width`` words joined by
 a space, XXH64 with seed 42; a bit is set if it is set in over half the shingles, repeats included.
@@ -37,6 +38,7 @@ from orogen.shared import materialise
 HOT = 1 << 17
 BUCKET_ROWS = 1 << 13
 CHUNK_VALUES = 1 << 22
+LONGER = 12  # bits that a hot prefix grows by at most before the shuffle; tasks go on from there
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -53,7 +55,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     last = ends[min(width, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -89,8 +96,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _meet(prefix: np.ndarray, fps: np.ndarray, salt: np.ndarray, salts: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, root) from all values under these prefixes, kept to each row's residue class."""
+def _meet(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, root) from all values under these prefixes; stars: (owner, first owner) of every value instead."""
     low_bits = 64 - bits
     used = np.bitwise_count((fps >> np.uint64(low_bits)) ^ prefix)
     values, owners = [], []
@@ -99,13 +106,8 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, salt: np.ndarray, salts: np.ndarr
         if len(at):
             low = fps[at] & np.uint64((1 << low_bits) - 1)
             v = ((prefix[at] << np.uint64(low_bits)) | low)[:, None] ^ _masks(low_bits, r)[None, :]
-            if (salts[at] > 1).any():
-                mine = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % salts[at, None].astype(np.uint64) == salt[at, None].astype(np.uint64)
-                values.append(v[mine])
-                owners.append((at[np.nonzero(mine)[0]], 1))
-            else:
-                values.append(v.ravel())
-                owners.append((at, v.shape[1]))
+            values.append(v.ravel())
+            owners.append((at, v.shape[1]))
     # Values are sorted alone, which is fast; owners are looked up only for the few values that occur twice.
     v = np.sort(np.concatenate(values))
     met = np.unique(v[1:][v[1:] == v[:-1]])
@@ -118,85 +120,108 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, salt: np.ndarray, salts: np.ndarr
         keys.append(place[hit])
         own.append(at[hit // columns])
     v, o = np.concatenate(keys), np.concatenate(own)
-    order = np.argsort(v, kind="stable")
-    same = np.flatnonzero(v[order[1:]] == v[order[:-1]])
     names, node = np.unique(fps, return_inverse=True)
-    a, b = node[o[order[same]]], node[o[order[same + 1]]]
-    pairs = np.unique(a.astype(np.int64) * len(names) + b)
+    order = np.lexsort((node[o], v))
+    v, o = v[order], node[o[order]]
+    same = np.flatnonzero(v[1:] == v[:-1])
+    if stars:
+        begins = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        first = np.repeat(o[begins], np.diff(np.append(begins, len(v))))
+        pairs = np.unique(o[same + 1].astype(np.int64) * len(names) + first[same + 1])
+        pairs = pairs[pairs // len(names) != pairs % len(names)]
+        return names[pairs // len(names)], names[pairs % len(names)]
+    pairs = np.unique(o[same].astype(np.int64) * len(names) + o[same + 1])
     label = _forest(len(names), pairs // len(names), pairs % len(names))
     moved = np.flatnonzero(label != np.arange(len(names)))
     return names[moved], names[label[moved]]
 
 
-def _divide(cols: tuple[np.ndarray, ...], bits: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _divide(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The links of _meet, from longer prefixes where these hold more than CHUNK_VALUES values."""
-    prefix, fps, salt, salts = cols
-    each = np.array([len(_masks(64 - bits, half - u)) for u in range(half + 1)], dtype=np.int64)
-    work = int(each[np.bitwise_count((fps >> np.uint64(64 - bits)) ^ prefix)].sum())
-    if work <= 2 * CHUNK_VALUES or bits > 40:
-        yield _meet(*cols, bits, half)
+    if int(_work(prefix, fps, bits, half).sum()) <= 2 * CHUNK_VALUES or bits > 56:
+        yield _meet(prefix, fps, bits, half, stars)
         return
     more = 3
     for k in range(1 << more):
         longer = (prefix << np.uint64(more)) | np.uint64(k)
         near = np.bitwise_count((fps >> np.uint64(64 - bits - more)) ^ longer) <= half
         if near.any():
-            yield from _divide((longer[near], fps[near], salt[near], salts[near]), bits + more, half)
+            yield from _divide(longer[near], fps[near], bits + more, half, stars)
+
+
+def _work(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int) -> np.ndarray:
+    """How many values each row has under its prefix."""
+    each = np.array([len(_masks(64 - bits, half - u)) for u in range(half + 1)], dtype=np.int64)
+    return each[np.bitwise_count((fps >> np.uint64(64 - bits)) ^ prefix)]
 
 
-def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): a spanning set of the links between the n distinct fingerprints ``fp``; more bucket_rows: fewer rows through the shuffle."""
+def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS, stars: bool = False) -> DataFrame:
+    """(a, b): a spanning set of the links between the n distinct fingerprints ``fp``; more bucket_rows: fewer rows through the shuffle.
+
+    stars: each fingerprint with the smallest one at any of its values, for callers that judge links one by one.
+    """
     half, bits = radius // 2, 8
     if radius % 2:
         raise ValueError("an even radius has a middle")
     while bits < 30 and n * len(_masks(bits, half)) > bucket_rows << bits:
         bits += 1
-    masks = F.array(*[F.lit(int(m)) for m in _masks(bits, half)]).cast("array<int>")
-    rows = distinct.select("fp", F.explode(masks).alias("m")).select("fp", F.shiftrightunsigned("fp", 64 - bits).cast("int").bitwiseXOR(F.col("m")).alias("prefix"))
-    hot = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).cast("int").alias("prefix")).count().filter(F.col("count") > HOT // 4)
-    hot = hot.select("prefix", F.ceil(F.col("count") / (HOT // 4)).cast("int").alias("salts"))  # 4 * n / HOT rows at most
-    rows = rows.join(F.broadcast(hot), "prefix", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    masks = F.array(*[F.lit(int(m)) for m in _masks(bits, half)]).cast("array<bigint>")
+    reach = F.explode(F.transform(masks, lambda m: F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(m))).alias("prefix")
+    rows = distinct.select("fp", reach)
+    # Rows per prefix follow from the fingerprints per prefix of their own, of which there are at most 2**bits.
+    own = distinct.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("own")).agg(F.count("*").alias("n"))
+    near = own.select("n", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("prefix")).groupBy("prefix").agg(F.sum("n").alias("n"))
+    hot = near.filter(F.col("n") > HOT).select("prefix", F.least(F.lit(LONGER), F.ceil(F.log2(F.col("n") / (HOT // 4))).cast("int")).alias("more"))
+    hot = materialise(hot, "hot-prefixes")
+    rows = rows.join(_small(hot), "prefix", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    rows = rows.withColumn("longer", F.explode(F.expr("transform(sequence(0L, shiftleft(1L, more) - 1), k -> shiftleft(prefix, more) + k)")))
+    rows = rows.withColumn("bits", F.lit(bits) + F.col("more")).filter(F.expr(f"bit_count(shiftrightunsigned(fp, 64 - bits) ^ longer) <= {half}"))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "prefix", "salt").sortWithinPartitions("prefix", "salt")
-    each = np.array([len(_masks(64 - bits, half - u)) for u in range(half + 1)], dtype=np.int64)
+    rows = rows.select(F.col("longer").alias("prefix"), "bits", "fp").repartition(parts, "prefix", "bits").sortWithinPartitions("bits", "prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
         limit = 1 << 17
 
-        def flush(cols):
-            for a, b in _divide(tuple(cols), bits, half):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def flush(prefix, fps, width):
+            if len(prefix):
+                for a, b in _divide(prefix, fps, int(width[0]), half, stars):
+                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         def cuts(cols, final):
-            """Slices at prefix borders of about CHUNK_VALUES values; the rest stays."""
-            prefix, fps, salt, salts = cols
-            key = prefix.astype(np.int64) * (1 << 31) + salt
-            border = np.flatnonzero(np.diff(key)) + 1
-            work = np.cumsum(each[np.bitwise_count((fps >> np.uint64(64 - bits)) ^ prefix)] // salts + 1)
-            at = 0
+            """Slices of one width at prefix borders, of about CHUNK_VALUES values; the rest stays."""
+            prefix, fps, width = cols
+            border = np.flatnonzero((np.diff(prefix.view(np.int64)) != 0) | (np.diff(width) != 0)) + 1
+            work = np.zeros(len(prefix), np.int64)
+            for w in np.unique(width).tolist():
+                own = width == w
+                work[own] = _work(prefix[own], fps[own], w, half)
+            work, at = np.cumsum(work), 0
             for k in border.tolist():
-                if work[k - 1] - (work[at - 1] if at else 0) >= CHUNK_VALUES:
+                if work[k - 1] - (work[at - 1] if at else 0) >= CHUNK_VALUES or width[k] != width[k - 1]:
                     yield at, k
                     at = k
             if final:
                 yield at, len(prefix)
 
         for b in batches:
-            held.append((b.column("prefix").to_numpy().astype(np.uint64), b.column("fp").to_numpy().view(np.uint64), b.column("salt").to_numpy(), b.column("salts").to_numpy()))
+            held.append((b.column("prefix").to_numpy().view(np.uint64), b.column("fp").to_numpy().view(np.uint64), b.column("bits").to_numpy()))
             if sum(len(h[0]) for h in held) >= limit:
                 cols, at = tuple(map(np.concatenate, zip(*held, strict=True))), 0
                 for s, at in cuts(cols, False):
-                    yield from flush([c[s:at] for c in cols])
+                    yield from flush(*(c[s:at] for c in cols))
                 held = [tuple(c[at:] for c in cols)]
                 limit = max(1 << 17, 2 * len(held[0][0]))
         if held and len((cols := tuple(map(np.concatenate, zip(*held, strict=True))))[0]):
             for s, e in cuts(cols, True):
-                yield from flush([c[s:e] for c in cols])
+                yield from flush(*(c[s:e] for c in cols))
+
+    return rows.select("prefix", "fp", "bits").mapInArrow(run, "a long, b long")
+
 
-    return rows.select("prefix", "fp", "salt", "salts").mapInArrow(run, "a long, b long")
+def _small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def classes(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
