@@ -1,21 +1,26 @@
 """WARC archives of captures, and their transactions put together again.
 
-Writing: a capture is a request, a response or revisit, and a metadata record; the latter two of the other kinds
-name the response's record id in WARC-Concurrent-To.  Of captures with equal payloads the one with the largest page_id is
-the response, the others revisit it; payloads are compared by SHA-1 digest and length.  The records are strings made by
-built-in expressions, and Spark's text writer puts them into gzip files (WARC/1.1, each record followed by two line
-ends) of at most RECORDS_PER_FILE captures, in the shared folder.  Payloads go from scan to file without a shuffle; only
-(row, digest) pairs are shuffled, and a hot digest is reduced to its largest page_id before.
+Writing: a capture is a request, a response or revisit, and a metadata record; the other two kinds name the response's
+record id in WARC-Concurrent-To, and a revisit names that of its response in WARC-Refers-To.  Of captures with equal
+payloads the one with the largest page_id is the response, the others revisit it; payloads are compared by SHA-1 digest
+and length.  The records are strings made by built-in expressions; each is compressed to a gzip member of its own, as
+WARC readers expect, and Spark's text writer puts the members into files of at most RECORDS_PER_FILE records, and never
+more than a task's split, in the shared folder.  Payloads go from scan to file without a shuffle; only (row, digest)
+pairs are shuffled, and a hot digest is reduced to its largest page_id before.
+
+The text writer ends each value with a separator.  It is the byte zero, which is the last one of a gzip member below
+16 MB (the high byte of its length); so a member is handed over without it.  A longer one is followed by an empty member.
 
 Reading: a task takes an archive at a time, unpacks it as a stream and yields its records.
 
 Defined cases: a null html is an empty payload; repeated rows are captures of their own, of which one is the response; a
-null page_id is less than any other; an empty table gives no archive; other columns are not read.  A url with line
-breaks is written with them percent-encoded.
+null page_id is less than any other; an empty table gives no archive and no captures; other columns are not read.  A url
+with line breaks is written with them percent-encoded.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import zlib
 from collections.abc import Iterator
@@ -26,9 +31,9 @@ from pyspark.sql import functions as F
 
 from orogen.shared import materialise, new_path
 
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE = 50_000
 CRLF = "\r\n"
-FIELDS = "page_id long, kind string, record_id string, concurrent_to string, refers_to long, uri string, digest string, payload_bytes long, payload binary"
+FIELDS = "page_id long, kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -76,18 +81,37 @@ def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> str:
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.col("n_bytes").cast("string")), F.lit(CRLF))
     digest = line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
-    refers = F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _uuid(F.lit("response"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.col("first_row").cast("string"))), line("X-Refers-To-Page", F.coalesce(F.col("first_id").cast("string"), F.lit(""))))).otherwise("")
+    refers = F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _uuid(F.lit("response"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.col("first_row").cast("string"))))).otherwise("")
     together = line("WARC-Concurrent-To", response_id)
-    records = F.concat(
-        record(F.lit("request"), _uuid(F.lit("request"), page, key), F.lit(f"GET / HTTP/1.1{CRLF * 2}"), "application/http; msgtype=request", together),
+    host = F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    target = F.regexp_replace(F.regexp_replace(uri, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "#.*", "")
+    request = F.concat(F.lit("GET "), F.when(target.startswith("/"), "").otherwise("/"), F.regexp_replace(target, " ", "%20"), F.lit(f" HTTP/1.1{CRLF}"), line("Host", host), F.lit(CRLF))
+    records = F.array(
+        record(F.lit("request"), _uuid(F.lit("request"), page, key), request, "application/http; msgtype=request", together),
         record(F.when(revisit, "revisit").otherwise("response"), response_id, F.when(revisit, http).otherwise(F.concat(http, "html")), "application/http; msgtype=response", digest, refers),
         record(F.lit("metadata"), _uuid(F.lit("metadata"), page, key), F.lit(f"fetchTimeMs: 0{CRLF}"), "application/warc-fields", together),
     )
     path = new_path(spark, "warc")
-    rows.select(records.alias("value")).write.option("compression", "gzip").option("lineSep", CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members = rows.select(F.explode(records).alias("record")).mapInArrow(_members, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is zero."""
+    empty = gzip.compress(b"", mtime=0)
+    for b in batches:
+        out, size = [], 0
+        for record in b.column(0):
+            member = gzip.compress(record.as_buffer(), 6, mtime=0)
+            out.append((member if member[-1] == 0 else member + empty)[:-1])
+            size += len(out[-1])
+            if size > 1 << 24:
+                yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
+                out, size = [], 0
+        yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
+
+
 def _stream(content: bytes) -> io.BufferedReader:
     class Unpack(io.RawIOBase):
         def __init__(self):
@@ -131,14 +155,14 @@ def _records(content: bytes) -> Iterator[tuple]:
             http, _, payload = block.partition(b"\r\n\r\n")
             n = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
         page = lambda name: int(head[name]) if head.get(name) else None
-        yield page("x-page-id"), kind, head["warc-record-id"], head.get("warc-concurrent-to"), page("x-refers-to-page"), head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, n, payload
+        yield page("x-page-id"), kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, n, payload
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = [f.split()[0] for f in FIELDS.split(", ")]
         make = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
@@ -153,7 +177,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield make(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, FIELDS)
 
 
@@ -167,3 +191,13 @@ def transactions(records: DataFrame, payload: bool = True) -> DataFrame:
     side = lambda kind: records.filter(F.col("kind") == kind).select(F.col("concurrent_to").alias("to"), F.struct("record_id", "uri").alias(kind))
     sides = side("request").unionByName(side("metadata"), allowMissingColumns=True).groupBy("to").agg(F.first("request", ignorenulls=True).alias("request"), F.first("metadata", ignorenulls=True).alias("metadata"))
     return main.join(sides, main["record_id"] == sides["to"], "left").select("page_id", F.struct(*fields).alias("response"), "request", "metadata")
+
+
+def resolve(captures: DataFrame) -> DataFrame:
+    """captures with refers_to: the page_id of the response whose record id a revisit names, null for responses.
+
+    Responses have a row each, so that a response with very many revisits makes one side of the join large only, which
+    adaptive execution splits.
+    """
+    responses = captures.filter(F.col("response.kind") == "response").select(F.col("response.record_id").alias("__id"), F.col("page_id").alias("refers_to"))
+    return captures.join(responses, captures["response"]["refers_to"] == responses["__id"], "left").drop("__id")
