@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.llm import chat, decontaminate, langid, linededup, packing, rules, simhash, tokencount, tokenfile, warc
+from orogen.shared import materialise
 from orogen.tables import table
 
 
@@ -34,7 +35,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     out = chat.format_conversations(rows.unionByName(own)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = out.filter(F.assert_true("round_trip", "a conversation doesn't come back from its formatted text").isNull())
+    under_mask = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    out = out.filter(F.assert_true(F.col("round_trip") & (F.col("loss") == under_mask), "a conversation doesn't come back from its formatted text").isNull())
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
@@ -71,10 +73,16 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
-    digested = records.withColumn("digest", F.when(F.col("kind") == "response", warc.base32_sha1(F.col("payload"))).otherwise(F.col("digest")))
-    digested = digested.withColumn("payload_bytes", F.when(F.col("kind") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")))
-    captures = warc.transactions(digested, payload=False)
-    return captures.select("page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "response.refers_to")
+    response = F.col("kind") == "response"
+    records = records.withColumn("digest", F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("digest")))
+    records = records.withColumn("payload_bytes", F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")))
+    heads = materialise(records.drop("payload"), "warc-heads")
+    captures = warc.resolve(warc.transactions(heads)).withColumn("complete", F.col("request").isNotNull() & F.col("metadata").isNotNull())
+    captures = captures.filter(F.assert_true("complete", "a capture lacks its request or metadata record").isNull())
+    return captures.select(
+        "page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to",
+        F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id"), "complete",
+    )
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
