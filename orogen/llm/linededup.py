@@ -6,14 +6,17 @@ cuckoo filter per shard over the keys with at least ``min_docs`` references.  Do
 their keys are added to or subtracted from refs, and the keys that cross the threshold are put into or taken out of
 the filters of their shards only.  Deleting what was inserted gives the tables of before.
 
-Removing lines: a worker asks the filters, which never miss a frequent key, and then the exact keys.  The exact keys go
-to the workers as one block if they are at most BROADCAST_KEYS, counted beforehand; beyond that, the keys that pass the
-filters are joined with refs, and the texts with the outcome.
+Removing lines: each key asks the filter of its own shard, which never misses a frequent key, and what passes is looked
+up exactly.  The filters go to the workers as one block while they are at most FILTER_BYTES together, and so do the exact
+keys while they are at most BROADCAST_KEYS, both counted beforehand.  Beyond that, keys meet their shard's filter in a
+stream (sorted so that the filter comes first, and a shard with many keys is salted), and the passing ones are joined
+with the exact keys.
 
 Lines are counted per document, and hot keys are summed in the workers and again before the shuffle.
 
 Defined cases: a null or empty text is one empty line, which has no key and stays; repeated rows are documents of
-their own; an empty table gives an empty index; columns beside doc_id and text are passed through untouched.
+their own; an empty table gives an empty index; columns beside doc_id and text are passed through untouched, but that
+n_lines and n_dropped replace columns of these names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from orogen.shared import materialise
 SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_KEYS = 1_000_000
 SHARD_KEYS = 1 << 16
+FILTER_BYTES = 128 << 20
 HELD_KEYS = 100_000
 
 
@@ -111,7 +115,12 @@ class Cuckoo:
 
 
 def _words(keys) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)  # a view, so that shard_of can read the bytes
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of keys given as (n, 2) 64-bit integers."""
+    return keys.view(">u4")[:, 3].astype(np.int64) % shards
 
 
 def count_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -147,7 +156,8 @@ class LineIndex:
 
     @staticmethod
     def _shard(shards: int):
-        return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+        """By the key's last four bytes, of which a filter makes no use."""
+        return (F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long") % shards).cast("int").alias("shard")
 
     @staticmethod
     def build(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> LineIndex:
@@ -197,11 +207,11 @@ class LineIndex:
         """docs: the documents as they were inserted."""
         return self._changed(docs, -1)
 
-    def remove_lines(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    def remove_lines(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """The documents with ``text`` rid of frequent lines, and n_lines and n_dropped added."""
         frequent = self.refs.filter(F.col("refs") >= self.min_docs).select("key")
         spark, min_chars = docs.sparkSession, self.min_chars
-        columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]  # the results replace equal names
         docs = docs.select(*columns)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
         n, at = frequent.count(), columns.index("text")
@@ -221,41 +231,55 @@ class LineIndex:
             arrays = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(columns))]
             return pa.record_batch([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
-        if n <= broadcast_keys:
-            sent = spark.sparkContext.broadcast((sorted((r["shard"], bytes(r["filter"])) for r in self.filters.collect()), b"".join(bytes(r["key"]) for r in frequent.collect())))  # 16 bytes a key and about 3 a filter slot
+        shards = self.shards
+        size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+
+        def passing(loaded: dict[int, Cuckoo], listed: list[bytes]) -> np.ndarray:
+            """Which keys pass the filters of their shards."""
+            words, out = _words(listed), np.zeros(len(listed), bool)
+            of = shard_of(words, shards)
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+                if (f := loaded.get(int(of[own[0]]))) is not None:
+                    out[own] = f.contains(words[own])
+            return out
+
+        filters = spark.sparkContext.broadcast([(r["shard"], bytes(r["filter"])) for r in self.filters.collect()]) if size <= filter_bytes else None
+
+        if n <= broadcast_keys and filters:
+            sent = spark.sparkContext.broadcast(b"".join(bytes(r["key"]) for r in frequent.collect()))  # 16 bytes a key
 
             def small(batches):
-                filters, keys = sent.value
-                loaded, exact = [Cuckoo.load(f) for _, f in filters], {keys[k : k + 16] for k in range(0, len(keys), 16)}
+                keys, loaded = sent.value, {k: Cuckoo.load(f) for k, f in filters.value}
+                exact = {keys[k : k + 16] for k in range(0, len(keys), 16)}
 
                 def known(found: set, _):
-                    if not found or not loaded:
-                        return set()
                     listed = list(found)
-                    maybe = np.zeros(len(listed), bool)
-                    words = _words(listed)
-                    for f in loaded:
-                        maybe |= f.contains(words)
-                    return {listed[k] for k in np.flatnonzero(maybe)} & exact
+                    return {listed[k] for k in np.flatnonzero(passing(loaded, listed))} & exact
 
                 for b in batches:
                     yield dropped(b, known)
 
             return docs.mapInArrow(small, schema)
 
-        # Too many frequent keys for a block in each worker: the documents' keys that pass the filter of their shard are joined.
         rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
 
         def keys_of(batches):
+            """Distinct keys of each document; only those that pass, where the filters are at hand."""
+            loaded = {k: Cuckoo.load(f) for k, f in filters.value} if filters else None
             for b in batches:
                 ids, keys = [], []
                 for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own = {k for k in line_keys((t or "").encode(), min_chars) if k}
+                    own = list({k for k in line_keys((t or "").encode(), min_chars) if k})
+                    if loaded is not None and own:
+                        own = [own[k] for k in np.flatnonzero(passing(loaded, own))]
                     ids += [row] * len(own)
                     keys += own
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["row", "key"])
 
         found = rows.select("__row", "text").mapInArrow(keys_of, "row long, key binary")
+        if not filters:
+            found = self._streamed(found)
         bad = found.join(frequent, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("__drop"))
         joined = rows.join(bad, rows["__row"] == bad["row"], "left").select(*columns, "__drop")
 
@@ -265,3 +289,28 @@ class LineIndex:
                 yield dropped(b, lambda _, __, drops=drops: drops)
 
         return joined.mapInArrow(large, schema)
+
+    def _streamed(self, found: DataFrame) -> DataFrame:
+        """(row, key) of the keys that pass their shard's filter, each shard a stream that its filter leads."""
+        parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = -(-parts // self.shards) * 4
+        keys = found.select(self._shard(self.shards), F.pmod("row", F.lit(salts)).cast("int").alias("salt"), "row", "key", F.lit(None).cast("binary").alias("filter"))
+        leads = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("key"), "filter")
+        both = leads.unionByName(keys).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, f = None, None
+            for b in batches:
+                shards, leads = b.column(0).to_numpy(), np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False))
+                cuts = np.unique(np.concatenate(([0, b.num_rows], np.flatnonzero(np.diff(shards)) + 1, leads)))
+                out = []
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if b.column(4)[s].is_valid:
+                        shard, f = shards[s], Cuckoo.load(b.column(4)[s].as_py())
+                        s += 1
+                    if s < e and f is not None and shards[s] == shard:
+                        out.append(np.flatnonzero(f.contains(_words(b.column(3).slice(s, e - s).to_pylist()))) + s)
+                at = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+                yield pa.record_batch([b.column(2).take(at), b.column(3).take(at)], names=["row", "key"])
+
+        return both.mapInArrow(run, "row long, key binary")
