@@ -15,7 +15,7 @@ Only passing windows and one small row per document are shuffled, never texts.
 
 Defined cases: a null text has no words and is never contaminated; an empty benchmark leaves all documents clean;
 repeated documents are judged each (an internal row number keeps them apart); repeated items or n-grams count once;
-only the named columns are read, so other columns may have any names.
+a text of any length is one row throughout; only the named columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -108,3 +108,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, ke
         "__keep.*", "n_words", n_hit.alias("n_hit"), "item_ids", F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def remove_spans(text: Column, spans: Column) -> Column:
+    """The text without the words in ``spans`` and what stands between them; spans as ``hits`` gives them for this text."""
+    own = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words before A-Z are lower-cased
+    text = F.coalesce(text, F.lit(""))
+    found, between = F.regexp_extract_all(text, F.lit(f"({own})"), 1), F.split(text, own)
+    gone = lambda k: F.exists(spans, lambda s: (s["start"] <= k) & (k < s["end"]))
+    kept = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda k: F.concat(F.when(gone(k), "").otherwise(F.get(found, k)), F.when(gone(k) & gone(k + 1), "").otherwise(F.get(between, k + 1))))
+    return F.when(F.size(found) > 0, F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))).otherwise(text)
+
+
+def telling(spans: Column, contaminated: Column, n: int = 13) -> Column:
+    """Whether a document holds a whole window of ``n`` words, or is contaminated by its share of hit words.
+
+    Hits of items below ``n`` words may be chance; alone they tell only by their share.
+    """
+    return contaminated | F.exists(spans, lambda s: s["end"] - s["start"] >= n)

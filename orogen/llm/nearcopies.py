@@ -1,12 +1,19 @@
 """Near copies: texts that ball hashing links and whose shingles are the same to ``least``, verified exactly.
 
 A text's shingles are its runs of ``width`` words as in ``simhash``, as a set of 64-bit hashes; the similarity of two texts
-is the Jaccard similarity of their sets.  Equal texts are taken together first.  Then, in rounds: the fingerprints
-of the texts left are linked within ``radius`` bits, the text with the smallest doc_id of each component stays, and
-the component's texts that are similar to it go.  The others are linked anew, without it.  A text is decided once: of
-two texts that are linked and similar one always goes, and none goes but for a text that stays.
+is the Jaccard similarity of their sets.  A text has two fingerprints: of its shingles and of its distinct words.  A
+scattered edit changes five shingles but only one word, so that most similar texts lie within few bits of each other by
+their words; long common runs are found by the shingles.  What is linked wrongly is told by the exact comparison.
 
-What ball hashing doesn't link is not found; the README gives the recall.
+Equal texts are taken together first.  Then, in rounds, over the texts still undecided:
+
+1. Fingerprints of either kind that meet at a value of the ball are linked in stars about the value's smallest one, and
+   texts of one fingerprint about its first text, so that a group of copies never gives all its pairs.
+2. Every link is verified; those that aren't similar are dropped.
+3. Of each component of similar links the text with the smallest doc_id stays, and the texts that are similar to it go.
+   The others of the component are undecided and linked anew, without it; a text without similar links stays.
+
+So none goes but for a similar text that stays.  What ball hashing doesn't link is not found; the README gives the recall.
 
 Defined cases: a null text is an empty one; texts without words are copies of each other; a text of fewer words is one
 shingle; a null doc_id comes after all others; different texts under one doc_id are different documents.
@@ -27,7 +34,6 @@ RADIUS, WIDTH = 6, 5
 LEAST = (4, 5)
 BROADCAST_KEYS = 1_000_000
 BUCKET_ROWS = 1 << 22
-GROUP_ROWS = 1 << 10
 
 
 def text_key(text: Column) -> Column:
@@ -44,6 +50,14 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[k : k + width]), 42) for k in range(max(1, len(words) - width + 1))] if words else [], np.uint64)).view(np.int64)
 
 
+def word_print(text: str | None) -> int:
+    """The fingerprint of a text's distinct words, as a signed 64-bit integer; zero without words."""
+    import xxhash
+
+    words = set((text or "").encode().lower().split())
+    return simhash.majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))) if words else 0
+
+
 def few(df: DataFrame, n: int) -> DataFrame:
     """df, sent to all workers if its n rows are few."""
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
@@ -54,47 +68,63 @@ def _shingled(batches):
         yield pa.record_batch([b.column(0), pa.array(map(shingles, b.column(1).to_pylist()), pa.list_(pa.int64()), size=b.num_rows)], names=["key", "shingles"])
 
 
-def _grouped(rest: DataFrame, radius: int) -> DataFrame:
-    """The texts linked to others: key, doc_id, fp, leader, salts."""
-    distinct = materialise(rest.select("fp").distinct(), "near-fingerprints")
-    found = materialise(simhash.links(distinct, distinct.count(), radius, BUCKET_ROWS), "near-links")
-    of = connected_components(found).withColumnRenamed("node", "fp")
-    of = rest.join(few(of, of.count()), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("leader")
-    group = of.groupBy("component").agg(F.count("*").alias("n"), first).filter("n > 1")
-    group = materialise(group.select("component", "leader", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("salts")), "near-groups")
-    return materialise(of.join(few(group, group.count()), "component").select("key", "doc_id", "fp", "leader", "salts"), "near-members")
+def _links(rest: DataFrame, radius: int) -> DataFrame:
+    """(a, b): keys of texts whose fingerprints of either kind are equal or meet, in stars; each pair once."""
+    out = None
+    for kind in ("fp", "words"):
+        hubs = rest.groupBy(F.col(kind).alias("fp")).agg(F.min(F.struct("doc_id", "key"))["key"].alias("hub"))
+        hubs = materialise(hubs, "near-hubs")
+        meet = materialise(simhash.links(hubs.select("fp"), hubs.count(), radius, BUCKET_ROWS, stars=True), "near-meet").distinct()
+        far = meet.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("u")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("v")), "b").select("u", "v")
+        near = rest.select("key", F.col(kind).alias("fp")).join(hubs, "fp").filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
+        both = far.unionByName(near)
+        out = both if out is None else out.unionByName(both)
+    return out.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a <> b").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, and other columns) with ``similar``: whether the shingles are the same to LEAST.
+
+    A text in very many pairs makes one side of a join large, which adaptive execution splits.
+    """
+    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return rows.withColumn("similar", LEAST[1] * both >= LEAST[0] * (F.size("sa") + F.size("sb") - both)).drop("sa", "sb")
 
 
 def decide(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """The texts of docs (key, doc_id, n, fp; doc_id the smallest of the text's n rows), and the keys of those that go."""
+    """The texts of docs (key, doc_id, n, fp, words; doc_id the smallest of the text's n rows), and the keys of those that go."""
 
     def run(batches):
         for b in batches:
-            prints = (simhash.fingerprint(t, WIDTH) for t in b.column(2).to_pylist())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(prints, pa.int64(), size=b.num_rows)], names=["key", "doc_id", "fp"])
+            texts = b.column(2).to_pylist()
+            prints = (pa.array(kind, pa.int64(), size=b.num_rows) for kind in ((simhash.fingerprint(t, WIDTH) for t in texts), map(word_print, texts)))
+            yield pa.record_batch([b.column(0), b.column(1), *prints], names=["key", "doc_id", "fp", "words"])
 
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = keyed.mapInArrow(run, "key binary, doc_id long, fp long")
-    texts = materialise(prints.groupBy("key", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-texts")
-    gone, sets, rest = texts.select("key").limit(0), None, texts.select("key", "doc_id", "fp")
+    prints = keyed.mapInArrow(run, "key binary, doc_id long, fp long, words long")
+    texts = materialise(prints.groupBy("key", "fp", "words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-texts")
+    gone, sets, rest = texts.select("key").limit(0), None, texts.select("key", "doc_id", "fp", "words")
     while True:
-        members = _grouped(rest, radius)
-        if members.isEmpty():
+        pairs = materialise(_links(rest, radius), "near-pairs")
+        if pairs.isEmpty():
             return texts, gone
         if sets is None:
-            own = keyed.join(few(members.select("key"), members.count()), "key", "left_semi").select("key", "text")
+            linked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-linked")
+            own = keyed.join(few(linked, linked.count()), "key", "left_semi").select("key", "text")
             # Equal texts are dealt to one row only: their sets are the same.
             sets = materialise(own.mapInArrow(_shingled, "key binary, shingles array<long>").dropDuplicates(["key"]), "near-shingles")
-        salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt")
-        lead = members.select("leader", "salts").distinct().join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("of")), "leader")
-        lead = lead.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "of")
-        pairs = members.filter("key <> leader").select("key", "doc_id", "fp", "leader", salt).join(sets, "key").join(lead, ["leader", "salt"])
-        both = F.size(F.array_intersect("shingles", "of"))
-        similar = LEAST[1] * both >= LEAST[0] * (F.size("shingles") + F.size("of") - both)
-        judged = materialise(pairs.select("key", "doc_id", "fp", similar.alias("similar")), "near-judged")
+        similar = materialise(_similar(pairs, sets).filter("similar").select("a", "b"), "near-similar")
+        if similar.isEmpty():
+            return texts, gone
+        of = connected_components(similar)
+        members = rest.join(few(of, of.count()), rest["key"] == of["node"]).select("key", "doc_id", "fp", "words", "component")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("b")
+        leaders = members.groupBy("component").agg(first)
+        others = members.join(leaders, "component").filter("key <> b").withColumnRenamed("key", "a")
+        judged = materialise(_similar(others, sets).select(F.col("a").alias("key"), "doc_id", "fp", "words", "similar"), "near-judged")
         gone = gone.unionByName(judged.filter("similar").select("key"))
-        rest = judged.filter("not similar").select("key", "doc_id", "fp")
+        rest = judged.filter("not similar").drop("similar")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
