@@ -1,14 +1,16 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 A model has, for every language, a probability for each piece of a fixed public vocabulary.  A word's probability is the
-sum over all ways to write it as pieces, by the forward algorithm; a text's is the product over its words, and the
-languages are compared with equal priors.  A worker keeps the outcome per word in a bounded table, for words repeat.
+sum over all ways to write it as pieces, by the forward algorithm over the whole word, however long; its sums are scaled
+every STEPS characters, so that none vanishes.  A text's probability is the product over its words, and the languages are
+compared with equal priors.  A worker keeps the outcome per word in a bounded table, for words repeat.
 
-Training takes at most ``sample`` labelled documents per language, those with the smallest hash of their text, and runs
+Training takes at most ``sample`` labelled documents per language, those with the smallest hash of their doc_id, and runs
 ``rounds`` of expectation-maximisation over their counted words.  Prediction reads every text whole, and only it.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be learned;
-repeated rows are predicted each; an empty table gives an empty result; other columns are not read.
+equal probabilities give the first language by name; repeated rows are predicted each; an empty table gives an empty
+result; a text of any length is scored whole; other columns are not read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -26,25 +28,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-MAX_PIECE = 12
-LONGEST = 30  # a longer run of letters is scored in slices of this many characters
+STEPS = 16  # characters after which forward sums are scaled
 UNDETERMINED = "und"
 GROUP_BYTES = 4 << 20  # texts whose unseen words are scored together
-FORWARD_WORDS = 2048  # words of one length that the forward sums take at a time
+FORWARD_CHARS = 1 << 15  # characters in words of one length that the forward sums take at a time, one word at least
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def pieces(vocabulary: str) -> dict[str, int]:
-    """Lower-cased pieces of a sentencepiece vocabulary up to MAX_PIECE characters; a leading space mark stays as a space."""
+    """Lower-cased pieces of a sentencepiece vocabulary; a leading space mark stays as a space, and pieces with others, which no word holds, are left out."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     found = (sp.id_to_piece(k).replace("▁", " ").lower() for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_byte(k) or sp.is_unknown(k)))
-    return {p: k for k, p in enumerate(dict.fromkeys(p for p in found if 0 < len(p) <= MAX_PIECE))}
+    return {p: k for k, p in enumerate(dict.fromkeys(p for p in found if p == " " or p.strip(" ") and " " not in p[1:]))}
 
 
-def _slices(word: str) -> list[str]:
-    return [(" " if k == 0 else "") + word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+def longest(index: dict[str, int]) -> int:
+    return max(map(len, index), default=1)
 
 
 def has_letter(word: str) -> bool:
@@ -53,19 +54,19 @@ def has_letter(word: str) -> bool:
 
 def _train(counts: dict[str, Counter], index: dict[str, int], rounds: int, alpha: float) -> dict[str, tuple[dict[str, float], float]]:
     """Per language: probabilities of the pieces that occur, and that of any other piece or unknown character."""
-    model = {}
+    model, most = {}, longest(index)
     for lang, counted in sorted(counts.items()):
         weight: dict[str, float] = {}
         for w, n in counted.items():  # at first every piece that occurs counts, longer ones more
             for i in range(len(w)):
-                for j in range(i + 1, min(len(w), i + MAX_PIECE) + 1):
+                for j in range(i + 1, min(len(w), i + most) + 1):
                     if w[i:j] in index:
                         weight[w[i:j]] = weight.get(w[i:j], 0.0) + n * (j - i)
         model[lang] = _normalised(weight, len(index), alpha)
         for _ in range(rounds):
             expected: dict[str, float] = {}
             for w, n in counted.items():
-                _expect(w, n, model[lang], expected, index)
+                _expect(w, n, model[lang], expected, index, most)
             model[lang] = _normalised(expected, len(index), alpha)
     return model
 
@@ -75,23 +76,35 @@ def _normalised(weight: dict[str, float], size: int, alpha: float) -> tuple[dict
     return {x: (v + alpha) / total for x, v in weight.items()}, alpha / total
 
 
-def _expect(w: str, n: int, model: tuple[dict[str, float], float], out: dict[str, float], index: dict[str, int]) -> None:
-    """Add the expected use of each piece in n occurrences of w."""
+def _expect(w: str, n: int, model: tuple[dict[str, float], float], out: dict[str, float], index: dict[str, int], most: int) -> None:
+    """Add the expected use of each piece in n occurrences of w.
+
+    Sums that end or begin at a character are kept as a number and the logarithm of its scale, which changes every STEPS
+    characters.
+    """
     probs, rare = model
     size = len(w)
-    edges = [(i, j, probs.get(w[i:j], rare)) for i in range(size) for j in range(i + 1, min(size, i + MAX_PIECE) + 1) if w[i:j] in index or j == i + 1]
-    ahead = [0.0] * (size + 1)
-    ahead[0] = 1.0
+    edges = [(i, j, probs.get(w[i:j], rare)) for i in range(size) for j in range(i + 1, min(size, i + most) + 1) if w[i:j] in index or j == i + 1]
+    ahead, behind = _sums(size, edges, most), _sums(size, sorted((size - j, size - i, p) for i, j, p in edges), most)
+    total = math.log(ahead[0][size]) + ahead[1][size]
+    for i, j, p in edges:
+        if w[i:j] in index and ahead[0][i] and behind[0][size - j]:
+            out[w[i:j]] = out.get(w[i:j], 0.0) + n * ahead[0][i] * p * behind[0][size - j] * math.exp(ahead[1][i] + behind[1][size - j] - total)
+
+
+def _sums(size: int, edges: list[tuple[int, int, float]], most: int) -> tuple[list[float], list[float]]:
+    """Sums over all ways from 0 to each place, scaled, and the logarithms of the scales; edges come by their beginning."""
+    sums, scale, at, base = [0.0] * (size + 1), [0.0] * (size + 1), 0, 0.0
+    sums[0] = 1.0
     for i, j, p in edges:
-        ahead[j] += ahead[i] * p
-    behind = [0.0] * (size + 1)
-    behind[size] = 1.0
-    for i, j, p in reversed(edges):
-        behind[i] += p * behind[j]
-    if ahead[size] > 0:
-        for i, j, p in edges:
-            if w[i:j] in index:
-                out[w[i:j]] = out.get(w[i:j], 0.0) + n * ahead[i] * p * behind[j] / ahead[size]
+        if i >= at + STEPS:  # all that ends at i is summed; what lies ahead takes over its scale
+            at, top = i, sums[i]
+            base += math.log(top)
+            scale[i:] = [base] * (size + 1 - i)
+            for k in range(i, min(size, i + most) + 1):
+                sums[k] /= top
+        sums[j] += sums[i] * p
+    return sums, scale
 
 
 class Scorer:
@@ -102,7 +115,7 @@ class Scorer:
     """
 
     def __init__(self, model: dict[str, tuple[dict[str, float], float]], index: dict[str, int], limit: int = 200_000):
-        self.langs, self.limit = sorted(model), limit
+        self.langs, self.limit, self.longest = sorted(model), limit, longest(index)
         k = len(self.langs)
         rare = np.array([model[x][1] for x in self.langs])
         seen = sorted(set().union(*(model[x][0] for x in self.langs))) if model else []
@@ -115,7 +128,7 @@ class Scorer:
         by_size: dict[int, list[str]] = {}
         for p in row:
             by_size.setdefault(len(p), []).append(p)
-        hashed = [(next(h for m, h in _hashes(_codes(ps).reshape(-1, n)) if m == n)[:, 0], [row[p] for p in ps]) for n, ps in by_size.items()]
+        hashed = [(next(h for m, h in _hashes(_codes(ps).reshape(-1, n), n) if m == n)[:, 0], [row[p] for p in ps]) for n, ps in by_size.items()]
         keys = np.concatenate([h for h, _ in hashed]) if hashed else np.zeros(0, np.uint64)
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], np.array([r for _, rs in hashed for r in rs], np.int64)[order]
@@ -137,27 +150,35 @@ class Scorer:
             out[at] = np.where(self.keys[near] == sought, self.rows[near], 0)
         return out.reshape(hashed.shape)
 
-    def _forward(self, slices: list[str]) -> np.ndarray:
-        """log P of each slice, a column per language."""
-        out, sizes = np.empty((len(slices), len(self.langs))), np.fromiter(map(len, slices), np.int64, len(slices))
+    def _forward(self, words: list[str]) -> np.ndarray:
+        """log P of each word, a column per language."""
+        out, sizes = np.empty((len(words), len(self.langs))), np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes).tolist():
             which = np.flatnonzero(sizes == size)
-            for own in np.array_split(which, -(-which.size // FORWARD_WORDS)):
-                ahead = np.zeros((size + 1, own.size, len(self.langs)))
-                ahead[0] = 1.0
+            for own in np.array_split(which, min(which.size, -(-which.size * size // FORWARD_CHARS))):
                 found = {}
-                for m, h in _hashes(_codes([slices[x] for x in own]).reshape(-1, size)):
+                for m, h in _hashes(_codes([words[x] for x in own]).reshape(-1, size), self.longest):
                     r = self._find(h)
                     found[m] = np.maximum(r, 1) if m == 1 else r
+                # Only the last sums are needed; they share a scale, which is taken out every STEPS characters.
+                ring = np.zeros((self.longest + 1, own.size, len(self.langs)))
+                ring[0], scale = 1.0, np.zeros((own.size, len(self.langs)))
                 for j in range(1, size + 1):
-                    for m in range(1, min(j, MAX_PIECE) + 1):
+                    now = np.zeros((own.size, len(self.langs)))
+                    for m in range(1, min(j, self.longest) + 1):
                         r = found[m][:, j - m]
                         if r.any():
-                            ahead[j] += ahead[j - m] * self.probs[r]
-                out[own] = np.log(np.maximum(ahead[size], math.exp(-745.0)))
+                            now += ring[(j - m) % len(ring)] * self.probs[r]
+                    ring[j % len(ring)] = now
+                    if j % STEPS == 0:
+                        top = ring.max(axis=0)
+                        ring /= top
+                        scale += np.log(top)
+                out[own] = np.log(ring[size % len(ring)]) + scale
         return out
 
     def word(self, w: str) -> tuple[float, ...]:
+        """log P of one word with its space mark."""
         return tuple(self._forward([w])[0])
 
     def _hold(self, words: set[str]) -> None:
@@ -173,9 +194,7 @@ class Scorer:
             else:
                 self.held[w] = 0
         if lettered:
-            parts = [_slices(w) for w in lettered]
-            starts = np.cumsum([0, *map(len, parts)])[:-1]
-            scores = np.add.reduceat(self._forward([x for p in parts for x in p]), starts, axis=0)
+            scores = self._forward([" " + w for w in lettered])
             self.held |= zip(lettered, range(len(self.scores), len(self.scores) + len(lettered)), strict=True)
             self.scores = np.concatenate([self.scores, scores])
 
@@ -202,10 +221,10 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length m: hashes of the substrings of that length of every row, by start."""
+def _hashes(codes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length m up to ``most``: hashes of the substrings of that length of every row, by start."""
     h = np.zeros(codes.shape, np.uint64)
-    for m in range(1, min(codes.shape[1], MAX_PIECE) + 1):
+    for m in range(1, min(codes.shape[1], most) + 1):
         h = h[:, : codes.shape[1] - m + 1] * STEP + (codes[:, m - 1 :] + np.uint64(1))
         yield m, (h ^ (h >> np.uint64(32))) * MIX
 
@@ -231,8 +250,7 @@ def learn(docs: DataFrame, vocabulary: str, sample: int = 300, rounds: int = 2,
         own = counts.setdefault(r["lang"], Counter())
         for w, n in Counter(WORD.findall(r["text"].lower())).items():
             if has_letter(w):
-                for s in _slices(w):
-                    own[s] += n
+                own[" " + w] += n
     return _train(counts, index, rounds, alpha), index
 
 
