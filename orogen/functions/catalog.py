@@ -33,6 +33,100 @@ TITLE_WORDS = ("elevation", "altitude", "topograph", "bathymetr", "height above"
 RESAMPLING = ("average", "bilinear", "cubic", "cubicspline")
 
 
+def swiss_gsd(pixel: Column) -> Column:
+    """The resolution to ask for: 2 m for pixels of 2 m or more, else 0.5 m."""
+    return F.when(pixel >= 2.0, 2.0).otherwise(0.5)
+
+
+def nearest_assets(assets: DataFrame, gsd: float) -> DataFrame:
+    """(tile, href) of (item, stamp, href, gsd): of each tile's latest item the GeoTIFF whose resolution is nearest.
+
+    An item is named <collection>_<year>_<tile>, and its year stands in for a missing stamp; an asset that states no
+    resolution is 99 away.  Of equal resolutions the first address counts, of equal stamps the first item.
+    """
+    parts = F.split("item", "_", 3)
+    tile = F.when(F.size(parts) == 3, F.get(parts, F.lit(2))).otherwise(F.col("item"))
+    stamp = F.coalesce("stamp", F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(""))
+    rows = assets.filter(F.lower("href").endswith(".tif")).select("item", tile.alias("tile"), stamp.alias("stamp"), "href", F.coalesce(F.abs(F.col("gsd") - gsd), F.lit(99.0)).alias("off"))
+    best = rows.groupBy("tile", "stamp", "item").agg(F.min(F.struct("off", "href"))["href"].alias("href"))
+    last = best.groupBy("tile").agg(F.max("stamp").alias("stamp"))
+    return best.join(last, ["tile", "stamp"]).groupBy("tile").agg(F.min(F.struct("item", "href"))["href"].alias("href"))
+
+
+def number_text(c: Column) -> Column:
+    """Ten significant digits at most, without trailing zeros, for requests."""
+    scale = F.pow(F.lit(10.0), 9 - F.floor(F.log10(F.abs(c))))
+    return F.when(c == 0, F.lit("0")).otherwise(F.call_function("format_number", F.rint(c * scale) / scale, F.lit("0.##########")))
+
+
+def _request(base: Column, pairs: list[tuple[str, Column]], plain: str) -> Column:
+    """An address with a query; values are escaped but for the characters in ``plain``."""
+    value = lambda v: reduce(lambda t, c: F.replace(t, F.lit(f"%{ord(c):02X}"), F.lit(c)), plain, F.replace(F.url_encode(v), F.lit("+"), F.lit("%20")))
+    return F.concat(F.substring_index(base, "?", 1), F.lit("?"), F.concat_ws("&", *[F.concat(F.lit(f"{k}="), value(v)) for k, v in pairs]))
+
+
+def coverage_url(base: Column, coverage: Column, epsg: int, box: list[Column], width: Column, height: Column, variant: str = "v100_geotiff") -> Column:
+    """A GetCoverage request: WCS 1.0.0 with either name of the format, or WCS 2.0.1."""
+    w, s, e, n = map(number_text, box)
+    size = [c.cast("string") for c in (width, height)]
+    if variant in ("v100_geotiff", "v100_image"):
+        pairs = [("SERVICE", F.lit("WCS")), ("VERSION", F.lit("1.0.0")), ("REQUEST", F.lit("GetCoverage")), ("COVERAGE", coverage), ("CRS", F.lit(f"EPSG:{epsg}")), ("BBOX", F.concat_ws(",", w, s, e, n))]
+        pairs += [("WIDTH", size[0]), ("HEIGHT", size[1]), ("FORMAT", F.lit("GeoTIFF" if variant == "v100_geotiff" else "image/GeoTIFF"))]
+    elif variant == "v201_image":
+        span = lambda a, lo, hi: F.concat(F.lit(f"{a}("), lo, F.lit(","), hi, F.lit(")"))
+        pairs = [("SERVICE", F.lit("WCS")), ("VERSION", F.lit("2.0.1")), ("REQUEST", F.lit("GetCoverage")), ("COVERAGEID", coverage), ("SUBSET", span("x", w, e)), ("SUBSET", span("y", s, n))]
+        pairs += [("SCALESIZE", F.concat(F.lit("x("), size[0], F.lit("),y("), size[1], F.lit(")"))), ("FORMAT", F.lit("image/GeoTIFF"))]
+    else:
+        raise ValueError(f"no variant {variant!r}")
+    return _request(base, pairs, "(),:/")
+
+
+def map_url(base: Column, layer: Column, epsg: int, box: list[Column], width: Column, height: Column, variant: str = "geotiff_normal") -> Column:
+    """A GetMap request of WMS 1.3.0."""
+    kind, _, style = variant.partition("_")
+    if kind not in ("geotiff", "tiff"):
+        raise ValueError(f"no variant {variant!r}")
+    pairs = [("SERVICE", F.lit("WMS")), ("VERSION", F.lit("1.3.0")), ("REQUEST", F.lit("GetMap")), ("LAYERS", layer), ("STYLES", F.lit("normal" if style == "normal" else "")), ("CRS", F.lit(f"EPSG:{epsg}"))]
+    pairs += [("BBOX", F.concat_ws(",", *map(number_text, box))), ("WIDTH", width.cast("string")), ("HEIGHT", height.cast("string")), ("FORMAT", F.lit(f"image/{kind}"))]
+    return _request(base, pairs, ",:/")
+
+
+def pick(candidates: DataFrame, k: int) -> DataFrame:
+    """(query, name, chosen) with the k-th candidate of each query by rank chosen; a query with fewer is an error when it is met."""
+    n = Window.partitionBy("query")
+    rows = candidates.withColumn("n", F.count("*").over(n)).withColumn("at", F.row_number().over(n.orderBy("rank", "name")))
+    known = F.assert_true((F.lit(k) >= 1) & (F.col("n") >= k), F.concat(F.lit(f"no candidate {k} for "), F.col("query"))).isNull()
+    return rows.filter(known).select("query", "name", (F.col("at") == k).alias("chosen"))
+
+
+def choose_band(bands: DataFrame, wanted: int | None = None) -> DataFrame:
+    """(file, band) of (file, band, colour): the wanted band if the file has it, else the only one that isn't opacity, else NULL."""
+    if wanted is not None:
+        return bands.groupBy("file").agg(F.max(F.when(F.col("band") == wanted, F.col("band"))).alias("band"))
+    useful = F.lower(F.coalesce("colour", F.lit(""))) != "alpha"
+    return bands.groupBy("file").agg(F.count_if(useful).alias("n"), F.min(F.when(useful, F.col("band"))).alias("band")).select("file", F.when(F.col("n") == 1, F.col("band")).alias("band"))
+
+
+def zoom_for_pixel(lat: Column, pixel: Column, most: int = 17) -> Column:
+    """The lowest web zoom whose pixels are no coarser, from 0 to ``most``; the highest for no pixel size."""
+    ground = F.cos(F.radians(lat)) * (2 * math.pi * 6378137.0 / 256)
+    zoom = F.when(pixel > 0, F.ceil(F.log2(ground / pixel))).otherwise(most)
+    return F.greatest(F.least(zoom, F.lit(most)), F.lit(0)).cast("int")
+
+
+def tile_range(west: Column, south: Column, east: Column, north: Column, zoom: int) -> list[Column]:
+    """(x0, y0, x1, y1) of the web tiles under a box, within the world."""
+    within = lambda c: F.greatest(F.least(c, F.lit((1 << zoom) - 1)), F.lit(0))
+    x0, y0 = web_tile(north, west, zoom)
+    x1, y1 = web_tile(south, east, zoom)
+    return [within(c).alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))]
+
+
+def cloud_unit(asked: Column, declared: Column, projected: Column, horizontal: Column) -> Column:
+    """Metres per vertical unit of a cloud: as asked, as its system declares, as its horizontal unit if projected, else 1."""
+    return F.coalesce(asked, F.when(declared > 0, declared), F.when(projected, horizontal), F.lit(1.0))
+
+
 def detect_kind(path: Column, head: Column) -> Column:
     las = F.lower(path).rlike(r"\.la[sz]$") | (F.substring(head, 1, 4) == F.lit(b"LASF"))
     return F.when(path.startswith("/vsi"), "raster").when(las, "lidar").otherwise("raster")
@@ -123,9 +217,16 @@ def tile_fallback(want: DataFrame, have: DataFrame, zooms: tuple[int, ...]) -> D
     return rows.join(there, ["zoom", "ax", "ay"], "left").groupBy("x", "y").agg(F.max(F.when(F.col("there"), F.col("zoom"))).alias("zoom"))
 
 
+# Fixed value: how a feed names a tile (side, north and east of its corner) and the date of its series.
+FEED_TITLE = r"ALS\s+DTM\s+CRS3035RES(\d+)mN(\d+)E(\d+)\b.*?Stichtag\s+(\d{2})\.(\d{2})\.(\d{4})"
+
+
 def feed_title(title: Column) -> list[Column]:
-    pattern = r"(CRS[0-9]+)_([0-9]{8})"
-    return [F.regexp_extract(title, pattern, 1).alias("crs"), F.regexp_extract(title, pattern, 2).alias("stamp")]
+    """tile, x0, y0, size and date (yyyymmdd) of a title; NULL for other titles."""
+    hit = title.rlike(FEED_TITLE)
+    part = lambda k: F.regexp_extract(title, FEED_TITLE, k)
+    tile = F.concat(F.lit("RES"), part(1), F.lit("mN"), part(2), F.lit("E"), part(3))
+    return [F.when(hit, v).alias(n) for n, v in (("tile", tile), ("x0", part(3).cast("double")), ("y0", part(2).cast("double")), ("size", part(1).cast("double")), ("date", F.concat(part(6), part(5), part(4))))]
 
 
 def overlapping_latest(tiles: DataFrame, west: float, south: float, east: float, north: float, side: float) -> DataFrame:

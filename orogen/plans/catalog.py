@@ -133,10 +133,75 @@ def q_tile_fallback(spark, sf):
     return C.tile_fallback(want, have, (12, 11, 10))
 
 
-@query("q_title_regex", r"SELECT title, regexp_extract(title, '(CRS[0-9]+)_([0-9]{8})', 1) AS crs, regexp_extract(title, '(CRS[0-9]+)_([0-9]{8})', 2) AS stamp FROM (SELECT 'ALS DTM CRS' || (3000 + o_custkey % 40) || '_' || strftime(o_orderdate, '%Y%m%d') AS title FROM orders)")
+TITLES = "t AS (SELECT o_orderkey AS key, CASE WHEN o_custkey % 7 = 0 THEN 'ALS DSM CRS3035RES50000mN2600000E4' ELSE 'ALS  DTM CRS3035RES50000mN' || (2600000 + o_custkey % 8 * 50000) || 'E' || (4200000 + o_custkey % 5 * 50000) || ' of the country, Stichtag ' || strftime(o_orderdate, '%d.%m.%Y') END AS title, o_custkey % 7 = 0 AS other, o_custkey, o_orderdate FROM orders)"
+
+
+def titles(spark, sf):
+    c = F.col("o_custkey")
+    text = F.concat(F.lit("ALS  DTM CRS3035RES50000mN"), (c % 8 * 50000 + 2600000).cast("string"), F.lit("E"), (c % 5 * 50000 + 4200000).cast("string"), F.lit(" of the country, Stichtag "), F.date_format("o_orderdate", "dd.MM.yyyy"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.when(c % 7 == 0, "ALS DSM CRS3035RES50000mN2600000E4").otherwise(text).alias("title"))
+
+
+@query("q_title_regex", f"WITH {TITLES} SELECT key, CASE WHEN NOT other THEN 'RES50000mN' || (2600000 + o_custkey % 8 * 50000) || 'E' || (4200000 + o_custkey % 5 * 50000) END AS tile, CASE WHEN NOT other THEN 4200000.0::DOUBLE + o_custkey % 5 * 50000 END AS x0, CASE WHEN NOT other THEN 2600000.0::DOUBLE + o_custkey % 8 * 50000 END AS y0, CASE WHEN NOT other THEN 50000.0::DOUBLE END AS size, CASE WHEN NOT other THEN strftime(o_orderdate, '%Y%m%d') END AS date FROM t")
 def q_title_regex(spark, sf):
-    title = F.concat(F.lit("ALS DTM CRS"), (F.col("o_custkey") % 40 + 3000).cast("string"), F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd")).alias("title")
-    return table(spark, sf, "orders").select(title).select("title", *C.feed_title(F.col("title")))
+    return titles(spark, sf).select("key", *C.feed_title(F.col("title")))
+
+
+ASSETS = "a AS (SELECT 'alti_' || (2019 + o_custkey % 5) || '_' || (o_custkey % 40) AS item, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS stamp, 'https://x/' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '.xyz' WHEN o_orderkey % 4 = 1 THEN '.TIF' ELSE '.tif' END AS href, CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 END::DOUBLE AS gsd FROM orders)"
+
+
+@query("q_nearest_assets", f"WITH {ASSETS}, r AS (SELECT item, split_part(item, '_', 3) AS tile, coalesce(stamp, split_part(item, '_', 2)) AS stamp, href, coalesce(abs(gsd - 2.0), 99.0) AS off FROM a WHERE lower(href) LIKE '%.tif'), b AS (SELECT tile, stamp, item, arg_min(href, (off, href)) AS href FROM r GROUP BY ALL), k AS (SELECT tile, href, row_number() OVER (PARTITION BY tile ORDER BY stamp DESC, item) AS k FROM b) SELECT tile, href FROM k WHERE k = 1")
+def q_nearest_assets(spark, sf):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    a = table(spark, sf, "orders").select(
+        F.concat_ws("_", F.lit("alti"), c % 5 + 2019, c % 40).alias("item"), F.when(c % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("stamp"),
+        F.concat(F.lit("https://x/"), o.cast("string"), F.when(o % 4 == 0, ".xyz").when(o % 4 == 1, ".TIF").otherwise(".tif")).alias("href"), F.when(o % 3 == 0, 0.5).when(o % 3 == 1, 2.0).alias("gsd"),
+    )
+    return C.nearest_assets(a, 2.0)
+
+
+@query("q_gsd", "SELECT px, CASE WHEN px >= 2 THEN 2.0 ELSE 0.5 END::DOUBLE AS gsd FROM (VALUES (0.2::DOUBLE), (1.99), (2.0), (30.0)) t(px)")
+def q_gsd(spark, sf):
+    return rows(spark, "px double", (0.2,), (1.99,), (2.0,), (30.0,)).select("px", C.swiss_gsd(F.col("px")).alias("gsd"))
+
+
+@query("q_request_urls", f"WITH {PLACE} SELECT id, printf('https://s/wcs?SERVICE=WCS&VERSION=1.0.0&REQUEST=GetCoverage&COVERAGE=dtm%%201&CRS=EPSG:25833&BBOX=%s,%s,%s,%s&WIDTH=%d&HEIGHT=100&FORMAT=GeoTIFF', printf('%.10g', lon), printf('%.10g', lat), printf('%.10g', lon+0.25), printf('%.10g', lat+0.125), id) AS wcs1, printf('https://s/wcs?SERVICE=WCS&VERSION=2.0.1&REQUEST=GetCoverage&COVERAGEID=dtm%%201&SUBSET=x(%s,%s)&SUBSET=y(%s,%s)&SCALESIZE=x(%d),y(100)&FORMAT=image/GeoTIFF', printf('%.10g', lon), printf('%.10g', lon+0.25), printf('%.10g', lat), printf('%.10g', lat+0.125), id) AS wcs2, printf('https://s/wcs?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=dtm%%201&STYLES=&CRS=EPSG:2154&BBOX=%s,%s,%s,%s&WIDTH=%d&HEIGHT=100&FORMAT=image/tiff', printf('%.10g', lon), printf('%.10g', lat), printf('%.10g', lon+0.25), printf('%.10g', lat+0.125), id) AS wms FROM p")
+def q_request_urls(spark, sf):
+    base, layer, box = F.lit("https://s/wcs?old=1"), F.lit("dtm 1"), [F.col("lon"), F.col("lat"), F.col("lon") + 0.25, F.col("lat") + 0.125]
+    size = F.col("id"), F.lit(100)
+    return places(spark, sf).select("id", C.coverage_url(base, layer, 25833, box, *size).alias("wcs1"), C.coverage_url(base, layer, 25833, box, *size, variant="v201_image").alias("wcs2"), C.map_url(base, layer, 2154, box, *size, variant="tiff_default").alias("wms"))
+
+
+@query("q_pick", "SELECT o_custkey AS query, o_orderkey::VARCHAR AS name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey::VARCHAR) = 1 AS chosen FROM orders")
+def q_pick(spark, sf):
+    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_totalprice").alias("rank"))
+    return C.pick(c, 1)
+
+
+BANDS = [("a.tif", 1, "Gray"), ("b.tif", 1, "Gray"), ("b.tif", 2, "Alpha"), ("c.tif", 1, "Red"), ("c.tif", 2, "Green"), ("c.tif", 3, "Blue"), ("d.tif", 1, "Alpha"), ("e.tif", 1, None)]
+BANDS_SQL = "(VALUES " + ", ".join(f"('{f}', {b}, {'NULL' if c is None else repr(c)})" for f, b, c in BANDS) + ") t(file, band, colour)"
+
+
+@query("q_choose_band", f"SELECT file, CASE WHEN count(*) FILTER (colour IS DISTINCT FROM 'Alpha') = 1 THEN min(band) FILTER (colour IS DISTINCT FROM 'Alpha') END AS band FROM {BANDS_SQL} GROUP BY file")
+def q_choose_band(spark, sf):
+    return C.choose_band(spark.createDataFrame(BANDS, "file string, band int, colour string"))
+
+
+@query("q_zoom_for_pixel", f"WITH {PLACE} SELECT id, CASE WHEN id % 9 = 0 THEN 17 ELSE greatest(0, least(17, ceil(log2(2*pi()*6378137/256*cos(radians(lat))/(id % 9 * 1.5)))))::INT END::INT AS zoom FROM p WHERE abs(lat) < 80")
+def q_zoom_for_pixel(spark, sf):
+    return places(spark, sf).filter("abs(lat) < 80").select("id", C.zoom_for_pixel(F.col("lat"), F.col("id") % 9 * 1.5).alias("zoom"))
+
+
+@query("q_tile_range", f"WITH {PLACE}, b AS (SELECT id, lon - 1.5 AS w, lon + 1.5 AS e, lat - 1.5 AS s, lat + 1.5 AS n FROM p WHERE abs(lat) < 80) SELECT id, least(greatest(floor((w+180)/360*256)::INT, 0), 255) AS x0, least(greatest(floor((1 - asinh(tan(radians(n)))/pi())/2*256)::INT, 0), 255) AS y0, least(greatest(floor((e+180)/360*256)::INT, 0), 255) AS x1, least(greatest(floor((1 - asinh(tan(radians(s)))/pi())/2*256)::INT, 0), 255) AS y1 FROM b")
+def q_tile_range(spark, sf):
+    lon, lat = F.col("lon"), F.col("lat")
+    return places(spark, sf).filter("abs(lat) < 80").select("id", *C.tile_range(lon - 1.5, lat - 1.5, lon + 1.5, lat + 1.5, 8))
+
+
+@query("q_cloud_unit", "SELECT asked, declared, projected, horizontal, coalesce(asked, CASE WHEN declared > 0 THEN declared END, CASE WHEN projected THEN horizontal END, 1.0) AS factor FROM (VALUES (0.3048::DOUBLE, 1.0::DOUBLE, true, 1.0::DOUBLE), (NULL, 0.3048, true, 1.0), (NULL, 0.0, true, 0.3048), (NULL, NULL, false, 0.3048), (NULL, NULL, true, 1.0)) t(asked, declared, projected, horizontal)")
+def q_cloud_unit(spark, sf):
+    r = rows(spark, "asked double, declared double, projected boolean, horizontal double", (0.3048, 1.0, True, 1.0), (None, 0.3048, True, 1.0), (None, 0.0, True, 0.3048), (None, None, False, 0.3048), (None, None, True, 1.0))
+    return r.withColumn("factor", C.cloud_unit(*map(F.col, r.columns)))
 
 
 @query("q_tile_overlap_latest", "WITH t AS (SELECT o_orderkey AS key, (o_custkey % 20)*10.0::DOUBLE AS x0, (o_custkey // 20 % 20)*10.0::DOUBLE AS y0, o_orderdate AS stamp FROM orders), o AS (SELECT *, row_number() OVER (PARTITION BY x0, y0 ORDER BY stamp DESC, key) AS k FROM t WHERE x0 < 85 AND x0+10 > 40 AND y0 < 60 AND y0+10 > 25) SELECT x0, y0, key, stamp FROM o WHERE k = 1")
