@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import chat, decontaminate, langid, linededup, packing, rules, simhash, tokencount, tokenfile, warc
+from orogen.llm import chat, decontaminate, langid, linededup, packing, rules, simhash, sql, tokencount, tokenfile, warc
 from orogen.shared import materialise
 from orogen.tables import table
 
@@ -80,8 +80,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.resolve(warc.transactions(heads)).withColumn("complete", F.col("request").isNotNull() & F.col("metadata").isNotNull())
     captures = captures.filter(F.assert_true("complete", "a capture lacks its request or metadata record").isNull())
     return captures.select(
-        "page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to",
-        F.col("request.record_id").alias("request_id"), F.col("metadata.record_id").alias("metadata_id"), "complete",
+        "page_id", "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to", "complete",
     )
 
 
@@ -111,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
