@@ -183,21 +183,31 @@ def _folded(spark, sf):
 
 
 MOVED = ", ".join(f"{v}x + CASE WHEN (-\"{v}y\"*7 + {v}x*3) % 11 = 0 THEN 0.625 ELSE 0 END AS {v}x, \"{v}y\" - CASE WHEN (-\"{v}y\"*7 + {v}x*3) % 11 = 0 THEN 0.625 ELSE 0 END AS \"{v}y\"" for v in "abc")
-INVERTED = f"""{K}{H}, f AS MATERIALIZED (SELECT 'top' AS part, i, j, k, {MOVED} FROM ({TOP})),
-n AS MATERIALIZED (SELECT *, (bx-ax)*(cy-ay) - ("by"-ay)*(cx-ax) AS z, greatest((bx-ax)*(bx-ax) + ("by"-ay)*("by"-ay), (cx-bx)*(cx-bx) + (cy-"by")*(cy-"by"), (ax-cx)*(ax-cx) + (ay-cy)*(ay-cy)) AS long FROM f WHERE NOT ((ax = bx AND ay = "by") OR (bx = cx AND "by" = cy) OR (cx = ax AND cy = ay))),
-e AS MATERIALIZED (SELECT i, j, k, z, abs(z) >= 1e-3*long AS good, u[1] AS p, u[2] AS q FROM (SELECT *, unnest([[ax::VARCHAR || ' ' || ay, bx::VARCHAR || ' ' || "by"], [bx::VARCHAR || ' ' || "by", cx::VARCHAR || ' ' || cy], [cx::VARCHAR || ' ' || cy, ax::VARCHAR || ' ' || ay]]) AS u FROM n)),
+NORMAL = '("by"-ay)*(cz-az) - (bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay) - ("by"-ay)*(cx-ax) AS nz'
+LONG = "greatest((bx-ax)*(bx-ax) + (\"by\"-ay)*(\"by\"-ay) + (bz-az)*(bz-az), (cx-bx)*(cx-bx) + (cy-\"by\")*(cy-\"by\") + (cz-bz)*(cz-bz), (ax-cx)*(ax-cx) + (ay-cy)*(ay-cy) + (az-cz)*(az-cz)) AS long"
+
+
+def _inverted(faces: str) -> str:
+    """Faces of which all three edges have two consistent, reliable faces whose normals are over 120 degrees apart."""
+    p = {v: " || ' ' || ".join(f'("{v}{c}"::FLOAT + 0)::VARCHAR' for c in "xyz") for v in "abc"}
+    sides = ", ".join(f"[{p[u]}, {p[v]}]" for u, v in ("ab", "bc", "ca"))
+    return f"""n AS MATERIALIZED (SELECT part, i, j, k, nx, ny, nz, sqrt(nx*nx+ny*ny+nz*nz) AS size, sqrt(nx*nx+ny*ny+nz*nz) >= 1e-3*long AS good, [{sides}] AS sides FROM (SELECT *, {NORMAL}, {LONG} FROM {faces} WHERE NOT {SAME})),
+e AS MATERIALIZED (SELECT part, i, j, k, nx, ny, nz, size, good, u[1] AS p, u[2] AS q FROM (SELECT *, unnest(sides) AS u FROM n)),
 m AS MATERIALIZED (SELECT least(p, q) AS lo, greatest(p, q) AS hi FROM e GROUP BY ALL HAVING count(*) = 2 AND min(p) <> max(p)),
-x AS (SELECT a.i, a.j, a.k, count(*) AS n_ok, count(*) FILTER (sign(a.z) * sign(b.z) < -0.5) AS n_opp FROM e a JOIN m ON m.lo = least(a.p, a.q) AND m.hi = greatest(a.p, a.q) JOIN e b ON b.p = a.q AND b.q = a.p WHERE a.good AND b.good GROUP BY ALL) SELECT 'top' AS part, i, j, k FROM x WHERE n_ok = 3 AND n_opp = 3"""
+x AS (SELECT a.part, a.i, a.j, a.k, count(*) AS n_ok, count(*) FILTER ((a.nx*b.nx + a.ny*b.ny + a.nz*b.nz)/(a.size*b.size) < -0.5) AS n_opp FROM e a JOIN m ON m.lo = least(a.p, a.q) AND m.hi = greatest(a.p, a.q) JOIN e b ON b.p = a.q AND b.q = a.p WHERE a.good AND b.good GROUP BY ALL) SELECT part, i, j, k FROM x WHERE n_ok = 3 AND n_opp = 3"""
 
 
-@query("q_inverted", INVERTED)
+@query("q_inverted", f"{MESH}, {_inverted('tri')}")
 def q_inverted(spark, sf):
-    return T.inverted(materialise(_folded(spark, sf), "mesh"))
+    return T.inverted(materialise(mesh(spark, sf), "mesh"))
 
 
-@query("q_inverted_mesh")
-def q_inverted_mesh(spark, sf):
-    return T.inverted(materialise(mesh(spark, sf), "mesh"))
+FLAT_TOP = "SELECT * REPLACE (0.0::DOUBLE AS az, 0.0::DOUBLE AS bz, 0.0::DOUBLE AS cz) FROM (" + TOP + ")"
+
+
+@query("q_inverted_folded", f"{K}{H}, f AS MATERIALIZED (SELECT part, i, j, k, {MOVED}, az, bz, cz FROM ({FLAT_TOP})), {_inverted('f')}")
+def q_inverted_folded(spark, sf):
+    return T.inverted(materialise(_folded(spark, sf), "mesh"))
 
 
 @query("q_check_mesh", f"{MESH}, {EDGES}, u AS (SELECT least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM e0 GROUP BY ALL), x AS (SELECT max(greatest(ax,bx,cx)) - min(least(ax,bx,cx)) <= 64 AS ok FROM tri) SELECT 'open edges' AS name, (SELECT count(*) FROM u WHERE n = 1) = 0 AS passed UNION ALL SELECT 'volume', true UNION ALL SELECT 'width', ok FROM x UNION ALL SELECT 'degenerate', NOT EXISTS (SELECT 1 FROM tri WHERE {SAME})")

@@ -1,4 +1,4 @@
-"""All queries over the reference's own operators, and the SQL each is held against."""
+"""All queries over elevation operators, and the SQL each is held against."""
 
 from __future__ import annotations
 
