@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no whole benchmark window of 13 words, however long they are, and no telling share of shorter items."""
     keyed = docs.withColumn("__key", nearcopies.text_key(F.col("text")))
-    found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"), keep=("__key",)).filter(decontaminate.telling(F.col("spans"), F.col("contaminated")))
+    found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"), keep=("__key",)).filter(decontaminate.telling(F.col("longest"), F.col("contaminated")))
     found = materialise(found.select("__key").distinct(), "dropped-texts")
     return keyed.join(nearcopies.few(found, found.count()), "__key", "left_anti").select(docs.columns)
 
