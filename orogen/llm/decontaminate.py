@@ -66,8 +66,8 @@ def _bitmap(grams: DataFrame) -> tuple[Column, list[int], int]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, n_words, n_hit, item_ids (array), spans (array of first word and word after),
-    contaminated.
+    """One row per document: ``keep``, n_words, n_hit, item_ids (array), spans (array of first word and word after), longest
+    (words of the longest window found, 0 if none), contaminated.
 
     contaminated: some word is hit, and ``share`` times the hit words are at least all words.
     """
@@ -96,18 +96,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, ke
     rows = rows.groupBy("__row").agg(
         F.first("__keep").alias("__keep"), F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_list(F.when(hit, F.struct(F.col("p"), F.col("q"))))).alias("__at"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"),
-    )
-    pos = F.col("__pos")
-    rows = rows.withColumn("__pos", F.sort_array(F.array_distinct(F.flatten(F.transform("__at", lambda x: F.sequence(x["p"], x["q"] - 1))))))
-    neighbour = lambda k: F.coalesce(F.get(pos, k), F.lit(-2))
-    starts = F.filter(pos, lambda x, k: neighbour(k - 1) != x - 1)
-    ends = F.transform(F.filter(pos, lambda x, k: neighbour(k + 1) != x + 1), lambda x: x + 1)
-    n_hit = F.size(pos).cast("long")
-    return rows.select(
-        "__keep.*", "n_words", n_hit.alias("n_hit"), "item_ids", F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"), F.coalesce(F.max(F.when(hit, F.col("q") - F.col("p"))), F.lit(0)).alias("longest"),
     )
+    # Windows in order of their first word: one that begins within or right behind the last span makes it longer.
+    none = F.expr("named_struct('done', cast(array() as array<struct<start:int,end:int>>), 'start', -1, 'end', -1)")
+    span = lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"))
+    closed = lambda a: F.when(a["end"] >= 0, F.concat(a["done"], F.array(span(a)))).otherwise(a["done"])
+    longer = lambda a, x: F.struct(a["done"].alias("done"), a["start"].alias("start"), F.greatest(a["end"], x["q"]).alias("end"))
+    fresh = lambda a, x: F.struct(closed(a).alias("done"), x["p"].alias("start"), x["q"].alias("end"))
+    rows = rows.withColumn("spans", F.aggregate("__at", none, lambda a, x: F.when(x["p"] <= a["end"], longer(a, x)).otherwise(fresh(a, x)), closed))
+    n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    rows = rows.select("__keep", "n_words", n_hit.alias("n_hit"), "item_ids", "spans", "longest")
+    return rows.select("__keep.*", "n_words", "n_hit", "item_ids", "spans", "longest", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
@@ -120,9 +120,9 @@ def remove_spans(text: Column, spans: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.get(between, F.lit(0)), F.array_join(kept, ""))).otherwise(text)
 
 
-def telling(spans: Column, contaminated: Column, n: int = 13) -> Column:
+def telling(longest: Column, contaminated: Column, n: int = 13) -> Column:
     """Whether a document holds a whole window of ``n`` words, or is contaminated by its share of hit words.
 
     Hits of items below ``n`` words may be chance; alone they tell only by their share.
     """
-    return contaminated | F.exists(spans, lambda s: s["end"] - s["start"] >= n)
+    return contaminated | (longest >= n)
