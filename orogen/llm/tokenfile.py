@@ -192,6 +192,57 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     return materialise(rows.select("doc_id", "text").mapInArrow(run, SCHEMA), "token-segments", compression="none")
 
 
+def _segment_parts(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, list[tuple[int, int]]]:
+    """Symbols, frequencies and scale of a segment, and where its blocks lie."""
+    n_blocks, n_docs, n_symbols, scale = struct.unpack_from("<IIII", raw, 4)
+    symbols = np.frombuffer(raw, "<u4", n_symbols, 20)
+    f = np.frombuffer(raw, "<u4", n_symbols, 20 + 4 * n_symbols).astype(np.int64)
+    at = 20 + 8 * n_symbols + 17 * n_docs
+    ends = np.frombuffer(raw, "<u8", n_blocks + 1, at).tolist()
+    at += 8 * (n_blocks + 1)
+    return symbols, f, scale, [(at + a, at + b) for a, b in zip(ends, ends[1:])]
+
+
+def _bases(segments: DataFrame) -> DataFrame:
+    """(part, segment, base): the ids before each segment.
+
+    A number per partition comes to the driver; segments within a partition are summed where they are.
+    """
+    sums = dict(sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()))
+    before = dict(zip(sums, [0, *accumulate(sums.values())], strict=False))
+    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
+    starts = segments.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    return manifest.join(F.broadcast(starts), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("base"))
+
+
+def read_range(segments: DataFrame, start: int, n: int) -> DataFrame:
+    """(at, ids): n ids of the whole file from place ``start`` on, in stretches of bounded size.
+
+    Of the segments that the range meets each block is decoded from the last checkpoint before it, stretch by stretch, and
+    not beyond it; nothing else is decoded.
+    """
+    stretch = LANES * CHECKPOINT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, total, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                symbols, f, scale, blocks = _segment_parts(raw)
+                low, high = max(0, start - base), min(total, start + n - base)
+                for k, (a, z) in enumerate(blocks):
+                    first = k * BLOCK_TOKENS
+                    for mark in range(-(-min(BLOCK_TOKENS, total - first) // stretch)):
+                        at = first + mark * stretch
+                        if at < high and at + stretch > low:
+                            ids = decode_block(raw[a:z], symbols, f, scale, mark, only=True)
+                            s, e = max(low - at, 0), min(high - at, len(ids))
+                            if s < e:
+                                yield pa.record_batch([pa.array([base + at + s]), pa.array([ids[s:e].tobytes()], pa.binary())], names=["at", "ids"])
+
+    rows = segments.join(_bases(segments), ["part", "segment"]).filter((F.col("base") < start + n) & (F.col("base") + F.col("n_tokens") > start))
+    return rows.select("base", "n_tokens", "bytes").mapInArrow(run, "at long, ids binary")
+
+
 def read(segments: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids of every document."""
 
@@ -208,13 +259,7 @@ def read(segments: DataFrame) -> DataFrame:
                     )
                     yield pa.record_batch([pa.array(v, t) for v, t in cols], names=["part", "segment", "doc_id", "local_start", "ids"])
 
-    # A number per partition comes to the driver; segments within a partition are summed where they are.
-    sums = dict(sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()))
-    before = dict(zip(sums, [0, *accumulate(sums.values())], strict=False))
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
-    starts = segments.sparkSession.createDataFrame(list(before.items()), "part int, before long")
-    bases = manifest.join(F.broadcast(starts), "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("base"))
+    bases = _bases(segments)
     found = segments.select("part", "segment", "bytes").mapInArrow(run, DECODED)
     few = segments.count() <= BROADCAST_SEGMENTS
     return found.join(F.broadcast(bases) if few else bases, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids")
