@@ -82,6 +82,11 @@ def _masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(bits), r)], dtype=np.uint64)
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """20 bits of hash."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index reachable over the edges (a, b) from each of n nodes."""
     label = np.arange(n)
@@ -113,12 +118,15 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool
     met = np.unique(v[1:][v[1:] == v[:-1]])
     if not len(met):
         return fps[:0], fps[:0]
+    maybe = np.zeros(1 << 20, bool)
+    maybe[_mixed(met)] = True
     keys, own = [], []
     for v, (at, columns) in zip(values, owners, strict=True):
-        place = np.minimum(np.searchsorted(met, v), len(met) - 1)
-        hit = np.flatnonzero(met[place] == v)
+        near = np.flatnonzero(maybe[_mixed(v)])
+        place = np.minimum(np.searchsorted(met, v[near]), len(met) - 1)
+        hit = met[place] == v[near]
         keys.append(place[hit])
-        own.append(at[hit // columns])
+        own.append(at[near[hit] // columns])
     v, o = np.concatenate(keys), np.concatenate(own)
     names, node = np.unique(fps, return_inverse=True)
     order = np.lexsort((node[o], v))
