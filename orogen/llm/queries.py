@@ -24,8 +24,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table, dealt out anew if its scan gives fewer tasks than there are cores, as a small file of one row group does.
+
+    Dealing is by rows alone and goes by their sorted order, so that a task that runs again gets the same ones.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    placed = packing.pack(rows_of(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
     return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -44,39 +53,35 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2))
+    rows = tokenfile.read(tokenfile.write(rows_of(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=2))
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), limit=2048)
+    return tokencount.count_tokens(rows_of(spark, sf_dir, "documents"), vocabulary(WORD_BPE), limit=2048)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.hits(rows_of(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",")
     return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = rows_of(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"))
     rows = langid.predict(docs, *langid.learn(docs.filter(~out), vocabulary(PIECES)))
     return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
     rows = linededup.LineIndex.build(docs, min_docs=10).remove_lines(docs)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
-    response = F.col("kind") == "response"
-    records = records.withColumn("digest", F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("digest")))
-    records = records.withColumn("payload_bytes", F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")))
-    heads = materialise(records.drop("payload"), "warc-heads")
+    heads = materialise(warc.read(spark, warc.write(rows_of(spark, sf_dir, "pages")), payload=False).drop("payload"), "warc-heads")
     captures = warc.resolve(warc.transactions(heads)).withColumn("complete", F.col("request").isNotNull() & F.col("metadata").isNotNull())
     captures = captures.filter(F.assert_true("complete", "a capture lacks its request or metadata record").isNull())
     return captures.select(
@@ -85,7 +90,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.ledger(table(spark, sf_dir, "documents"))
+    rows = rules.ledger(rows_of(spark, sf_dir, "documents"))
     base_failed = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
@@ -94,7 +99,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.classes(table(spark, sf_dir, "documents"), radius=4, width=4)
+    return simhash.classes(rows_of(spark, sf_dir, "documents"), radius=4, width=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,7 +11,8 @@ pairs are shuffled, and a hot digest is reduced to its largest page_id before.
 The text writer ends each value with a separator.  It is the byte zero, which is the last one of a gzip member below
 16 MB (the high byte of its length); so a member is handed over without it.  A longer one is followed by an empty member.
 
-Reading: a task takes an archive at a time, unpacks it as a stream and yields its records.
+Reading: a task takes an archive at a time, unpacks it as a stream and yields its records.  A response's digest and length
+are those of the payload that was read; an archive whose header says another digest is refused.
 
 Defined cases: a null html is an empty payload; repeated rows are captures of their own, of which one is the response; a
 null page_id is less than any other; an empty table gives no archive and no captures; other columns are not read.  A url
@@ -20,7 +21,9 @@ with line breaks is written with them percent-encoded.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -32,17 +35,17 @@ from pyspark.sql import functions as F
 from orogen.shared import materialise, new_path
 
 RECORDS_PER_FILE = 50_000
+LEVEL = 3
 CRLF = "\r\n"
 FIELDS = "page_id long, kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 digest: 32 characters, each of 5 of the 160 bits, by way of hexadecimal."""
-    digest = F.sha1(data)
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 digest in hexadecimal: 32 characters, each of 5 of its 160 bits."""
     # 5 hexadecimal digits are 20 bits and so 4 characters.
     chunk = lambda k: F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-    return F.concat(*[F.substr(F.lit(BASE32), F.shiftright(chunk(k), shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(8) for shift in (15, 10, 5, 0)])
+    return F.concat(*[F.substr(F.lit(ALPHABET), F.shiftright(chunk(k), shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(8) for shift in (15, 10, 5, 0)])
 
 
 def _uuid(*parts: Column) -> Column:
@@ -53,7 +56,7 @@ def _uuid(*parts: Column) -> Column:
 def assign(pages: DataFrame) -> DataFrame:
     """Rows with __row, page_id, url, html, digest, n_bytes, first (the row that responds) and its page_id."""
     rows = pages.select(F.monotonically_increasing_id().alias("__row"), "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
+    return rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
 
 
 def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> str:
@@ -80,7 +83,7 @@ def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> str:
         )
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.col("n_bytes").cast("string")), F.lit(CRLF))
-    digest = line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
+    digest = line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     refers = F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _uuid(F.lit("response"), F.coalesce(F.col("first_id").cast("string"), F.lit("")), F.col("first_row").cast("string"))))).otherwise("")
     together = line("WARC-Concurrent-To", response_id)
     host = F.regexp_extract(uri, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -103,7 +106,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, size = [], 0
         for record in b.column(0):
-            member = gzip.compress(record.as_buffer(), 6, mtime=0)
+            member = gzip.compress(record.as_buffer(), LEVEL, mtime=0)
             out.append((member if member[-1] == 0 else member + empty)[:-1])
             size += len(out[-1])
             if size > 1 << 24:
@@ -153,13 +156,19 @@ def _records(content: bytes) -> Iterator[tuple]:
         kind, payload, n = head["warc-type"], None, None
         if kind in ("response", "revisit"):
             http, _, payload = block.partition(b"\r\n\r\n")
-            n = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+            n = len(payload) if kind == "response" else next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
         page = lambda name: int(head[name]) if head.get(name) else None
-        yield page("x-page-id"), kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, n, payload
+        digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        if kind == "response":
+            found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if digest not in (None, found):
+                raise ValueError(f"record {head['warc-record-id']}: the payload's digest is {found}, not {digest}")
+            digest = found
+        yield page("x-page-id"), kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), digest, n, payload
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives in a folder."""
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """All records of the archives in a folder; without ``payload`` that column is NULL, and digest and length tell of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
@@ -169,8 +178,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column(0):
                 rows, size = [], 0
                 for r in _records(content.as_py()):
-                    rows.append(r)
-                    size += len(r[8] or b"")
+                    rows.append(r if payload else (*r[:8], None))
+                    size += len(rows[-1][8] or b"")
                     if size > 1 << 24 or len(rows) >= 8192:
                         yield make(rows)
                         rows, size = [], 0
