@@ -125,6 +125,8 @@ def decide(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]
         judged = materialise(_similar(others, sets).select(F.col("a").alias("key"), "doc_id", "fp", "words", "similar"), "near-judged")
         gone = gone.unionByName(judged.filter("similar").select("key"))
         rest = judged.filter("not similar").drop("similar")
+        if rest.isEmpty():
+            return texts, gone
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
