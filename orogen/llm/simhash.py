@@ -144,9 +144,9 @@ def _meet(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool
     return names[moved], names[label[moved]]
 
 
-def _divide(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The links of _meet, from longer prefixes where these hold more than CHUNK_VALUES values."""
-    if int(_work(prefix, fps, bits, half).sum()) <= 2 * CHUNK_VALUES or bits > 56:
+def _divide(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bool = False, chunk: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of _meet, from longer prefixes where these hold more than ``chunk`` (CHUNK_VALUES) values."""
+    if int(_work(prefix, fps, bits, half).sum()) <= 2 * (chunk or CHUNK_VALUES) or bits > 56:
         yield _meet(prefix, fps, bits, half, stars)
         return
     more = 3
@@ -154,7 +154,31 @@ def _divide(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int, stars: bo
         longer = (prefix << np.uint64(more)) | np.uint64(k)
         near = np.bitwise_count((fps >> np.uint64(64 - bits - more)) ^ longer) <= half
         if near.any():
-            yield from _divide(longer[near], fps[near], bits + more, half, stars)
+            yield from _divide(longer[near], fps[near], bits + more, half, stars, chunk)
+
+
+def _once(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of all parts; a repeated one once, as far as ``most`` pairs held at a time tell."""
+    held, n = [], 0
+
+    def distinct():
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[new], b[new]
+
+    for pair in parts:
+        held.append(pair)
+        n += len(pair[0])
+        if n > most:
+            held = [distinct()]
+            n = len(held[0][0])
+            if 2 * n > most:
+                yield held.pop()
+                n = 0
+    if n:
+        yield distinct()
 
 
 def _work(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int) -> np.ndarray:
@@ -163,10 +187,11 @@ def _work(prefix: np.ndarray, fps: np.ndarray, bits: int, half: int) -> np.ndarr
     return each[np.bitwise_count((fps >> np.uint64(64 - bits)) ^ prefix)]
 
 
-def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS, stars: bool = False) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS, stars: bool = False, chunk: int | None = None) -> DataFrame:
     """(a, b): a spanning set of the links between the n distinct fingerprints ``fp``; more bucket_rows: fewer rows through the shuffle.
 
     stars: each fingerprint with the smallest one at any of its values, for callers that judge links one by one.
+    chunk: how many values a task makes at a time, CHUNK_VALUES if None; it needs some 100 bytes a value where most meet.
     """
     half, bits = radius // 2, 8
     if radius % 2:
@@ -193,7 +218,8 @@ def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKE
 
         def flush(prefix, fps, width):
             if len(prefix):
-                for a, b in _divide(prefix, fps, int(width[0]), half, stars):
+                found = _divide(prefix, fps, int(width[0]), half, stars, chunk)
+                for a, b in _once(found) if stars else found:
                     yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         def cuts(cols, final):
@@ -206,7 +232,7 @@ def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKE
                 work[own] = _work(prefix[own], fps[own], w, half)
             work, at = np.cumsum(work), 0
             for k in border.tolist():
-                if work[k - 1] - (work[at - 1] if at else 0) >= CHUNK_VALUES or width[k] != width[k - 1]:
+                if work[k - 1] - (work[at - 1] if at else 0) >= (chunk or CHUNK_VALUES) or width[k] != width[k - 1]:
                     yield at, k
                     at = k
             if final:
