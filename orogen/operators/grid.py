@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,17 +92,61 @@ def fill_idw(grid: DataFrame, radius: int) -> DataFrame:
 
     Quadrants turn about the hole: north-west to the north and strictly west of it, north-east strictly north, and so on.
     Of equally near cells of a quadrant the first in (i, j) order counts.
+
+    A tile of cells and what lies within the radius of it goes to one task, so that the shuffle follows the cells and not
+    the holes times the radius; the tile grows with the radius, so that a cell goes to few tiles.
     """
-    near = _candidates(_meet_rows(grid, radius), radius)
-    up, down = F.col("si") < F.col("hi"), F.col("si") > F.col("hi")
-    west, east = F.col("sj") < F.col("hj"), F.col("sj") > F.col("hj")
-    near = near.withColumn("q", F.when(west & ~down, 0).when(up & ~west, 1).when(east & ~up, 2).otherwise(3))
-    best = near.groupBy("hi", "hj", "q").agg(F.min(F.struct("d2", "si", "sj", "z")).alias("b"))
-    w = 1.0 / F.sqrt(F.col("b.d2").cast("double"))
-    filled = best.groupBy(F.col("hi").alias("i"), F.col("hj").alias("j")).agg((F.sum(F.col("b.z") * w) / F.sum(w)).alias("f"))
+    side = max(256, 2 * radius)
+    near = lambda c: F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side))
+    kinds = dict(grid.dtypes)
+    cells = grid.select("i", "j", F.col("z").cast("double").alias("z"))
+    tiles = cells.withColumn("ti", F.explode(near("i"))).withColumn("tj", F.explode(near("j")))
+
+    def run(tile: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ti, tj = (int(x.as_py()) * side - radius for x in tile)
+        at = rows["i"].to_numpy().astype(np.int64) - ti, rows["j"].to_numpy().astype(np.int64) - tj
+        z = np.full((side + 2 * radius, side + 2 * radius), np.nan)
+        known = rows["z"].is_valid().to_numpy()
+        z[at[0][known], at[1][known]] = rows["z"].to_numpy(zero_copy_only=False)[known]
+        held = np.zeros(z.shape, bool)
+        held[at[0][known], at[1][known]] = True
+        inner = ~known & (at[0] >= radius) & (at[0] < side + radius) & (at[1] >= radius) & (at[1] < side + radius)
+        hi, hj = np.divmod(np.unique(at[0][inner] * z.shape[1] + at[1][inner]), z.shape[1])
+        filled, found = _fill_holes(z, held, hi, hj, radius)
+        return pa.table({"i": pa.array(hi[found] + ti, pa.int64()), "j": pa.array(hj[found] + tj, pa.int64()), "f": pa.array(filled[found])})
+
+    filled = tiles.groupBy("ti", "tj").applyInArrow(run, "i long, j long, f double")
+    filled = filled.select(F.col("i").cast(kinds["i"]).alias("i"), F.col("j").cast(kinds["j"]).alias("j"), "f")
     return grid.join(filled, ["i", "j"], "left").select("i", "j", F.coalesce("z", "f").alias("z"))
 
 
+def _fill_holes(z: np.ndarray, held: np.ndarray, hi: np.ndarray, hj: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values for the holes (hi, hj) of a tile, all radius or more within its border, and whether there are any."""
+    width, far = z.shape[1], np.int64(1) << 40
+    column = np.arange(width)
+    last = np.maximum.accumulate(np.where(held, column, -far), axis=1)  # the nearest held column up to here
+    first = np.minimum.accumulate(np.where(held, column, far)[:, ::-1], axis=1)[:, ::-1]  # and from here
+    up, down = range(-radius, 0), range(1, radius + 1)
+    # A quadrant's rows and whether it looks west, in ascending order of rows; its own column belongs to the eastern one
+    # above and to the western one below.
+    total, weights = np.zeros(len(hi)), np.zeros(len(hi))
+    for rows, west in (([*up, 0], True), (up, False), ([0, *down], False), (down, True)):
+        best, value = np.full(len(hi), far), np.zeros(len(hi))
+        for d in rows:
+            r = hi + d
+            c = (last if west else first)[r, hj]
+            if d < 0 and west or d > 0 and not west:  # strictly beside the hole
+                c = last[r, hj - 1] if west else first[r, hj + 1]
+            d2 = np.where(np.abs(c) < far, (c - hj) ** 2 + d * d, far)
+            nearer = (d2 < best) & (d2 <= radius * radius)
+            best[nearer], value[nearer] = d2[nearer], z[r[nearer], c[nearer]]
+        found = best < far
+        w = 1.0 / np.sqrt(best[found].astype(np.float64))
+        total[found] += value[found] * w
+        weights[found] += w
+    return total / np.where(weights > 0, weights, 1.0), weights > 0
+
+
 def block_mean(grid: DataFrame, f: int) -> DataFrame:
     """Mean of the valid cells of f x f blocks; a block without any is NULL."""
     return grid.groupBy(F.floor(F.col("i") / f).alias("i"), F.floor(F.col("j") / f).alias("j")).agg(F.avg("z").alias("z"), F.count("z").alias("n_valid"))
