@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm import simhash
+from orogen.llm.worker import give_back, trimmed
 from orogen.operators.graph import connected_components
 from orogen.shared import materialise
 
@@ -37,9 +38,10 @@ RADIUS, WIDTH = 6, 5
 LEAST = (4, 5)
 BROADCAST_KEYS = 1_000_000
 BUCKET_ROWS = 1 << 22
-CHUNK_VALUES = 1 << 20  # a group of near copies has most values meet: 209 MB in a worker, 545 MB at four times as many
+CHUNK_VALUES = 1 << 18  # a group of near copies has most values meet: arrays of 49 MB, 192 MB at four times as many
 TASK_EDGES = 1 << 20
 TASK_SHINGLES = 1 << 21
+TRIM_SHINGLES = 1 << 16
 STAYS, GOES, UNDECIDED = 0, 1, 2
 
 
@@ -112,7 +114,7 @@ def _components(edges: DataFrame) -> DataFrame:
             label = simhash._forest(len(names), at[: len(at) // 2], at[len(at) // 2 :])
             yield pa.record_batch([names, names.take(pa.array(label))], names=["node", "component"])
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node binary, component binary")
+    return edges.select("a", "b").coalesce(1).mapInArrow(trimmed(run), "node binary, component binary")
 
 
 def _judge(group: pa.Table) -> pa.Table:
@@ -142,6 +144,8 @@ def _judge(group: pa.Table) -> pa.Table:
         else:
             for m in rarest:
                 holders.setdefault(m, []).append(at)
+    if len(members) > TRIM_SHINGLES:
+        give_back()
     return group.select(["key", "doc_id", "fp", "words"]).append_column("state", pa.array(state))
 
 
@@ -163,7 +167,7 @@ def decide(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]
             yield pa.record_batch([b.column(0), b.column(1), *prints], names=["key", "doc_id", "fp", "words"])
 
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = keyed.mapInArrow(run, "key binary, doc_id long, fp long, words long")
+    prints = keyed.mapInArrow(trimmed(run), "key binary, doc_id long, fp long, words long")
     texts = materialise(prints.groupBy("key", "fp", "words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "near-texts")
     gone, sets, rest = texts.select("key").limit(0), None, texts.select("key", "doc_id", "fp", "words")
     while True:
@@ -174,7 +178,7 @@ def decide(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]
             linked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-linked")
             own = keyed.join(few(linked, linked.count()), "key", "left_semi").select("key", "text")
             # Equal texts are dealt to one row only: their sets are the same.
-            sets = materialise(own.mapInArrow(_shingled, "key binary, shingles array<long>").dropDuplicates(["key"]), "near-shingles")
+            sets = materialise(own.mapInArrow(trimmed(_shingled), "key binary, shingles array<long>").dropDuplicates(["key"]), "near-shingles")
         similar = materialise(_similar(pairs, sets).filter("similar").select("a", "b"), "near-similar")
         if similar.isEmpty():
             return texts, gone

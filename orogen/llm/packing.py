@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm.tokenise import IdTable
+from orogen.llm.worker import trimmed
 from orogen.shared import materialise
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, loose boolean"
@@ -144,8 +145,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, reo
 
         yield from _packed(pieces(), size, -(TaskContext.get().partitionId() + 1) * PER_TASK, reopen)
 
-    written = materialise(docs.select("doc_id", "text").mapInArrow(first, SCHEMA), "packed")
+    written = materialise(docs.select("doc_id", "text").mapInArrow(trimmed(first), SCHEMA), "packed")
     loose = written.filter("loose").select("doc_id", "piece", "start", "length", "ids")
     tokens = written.filter("loose").agg(F.sum("length")).first()[0] or 0
-    again = loose.repartition(-(-tokens // LOOSE_TOKENS) or 1).mapInArrow(second, SCHEMA)
+    again = loose.repartition(-(-tokens // LOOSE_TOKENS) or 1).mapInArrow(trimmed(second), SCHEMA)
     return written.filter("not loose").unionByName(again).drop("loose")

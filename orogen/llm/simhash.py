@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orogen.llm.worker import trimmed
 from orogen.operators.graph import connected_components
 from orogen.shared import materialise
 
@@ -250,7 +251,7 @@ def links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKE
             for s, e in cuts(cols, True):
                 yield from flush(*(c[s:e] for c in cols))
 
-    return rows.select("prefix", "fp", "bits").mapInArrow(run, "a long, b long")
+    return rows.select("prefix", "fp", "bits").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
